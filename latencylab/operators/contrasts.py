@@ -229,11 +229,11 @@ def weight_table(spark: SparkSession, d: Design) -> DataFrame:
 
 
 def attach_coding(trials: DataFrame, d: Design, cell: str = "cell") -> DataFrame:
-    """Add one coding column per hypothesis to trials; the lookup is the design itself."""
+    """Add one coding column per hypothesis (``COND...``) to trials; the lookup is the design itself."""
     x = d.coding()
     spark = trials.sparkSession
     rows = [(c, *map(float, x[i, :])) for i, c in enumerate(d.cell_names)]
-    schema = f"`{cell}` string, " + ", ".join(f"`{h.label}` double" for h in d.hypotheses)
+    schema = f"`{cell}` string, " + ", ".join(f"`{p.removeprefix('b_')}` double" for p in d.parameters)
     # at most cells x hypotheses values, a constant of the design
     return trials.join(F.broadcast(spark.createDataFrame(rows, schema)), cell, "left")
 

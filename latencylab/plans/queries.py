@@ -21,17 +21,22 @@ SEVEN = C.design("seven_block")
 V1, V2, V3 = (C.design(f"group_{v}") for v in ("v1", "v2", "v3"))
 
 
-def shown(df: DataFrame) -> DataFrame:
-    """Doubles to four decimals, so that summation order does not show."""
+# interpolated quantiles of values with three decimals have six, so rounding to four would cut at ties
+FINE_DIGITS = {"percentile_interval": 6, "conditional_effects": 6, "six_number": 6}
+
+
+def shown(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to a few decimals, so that summation order does not show."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        cols.append(F.round(c, DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c)
+        cols.append(F.round(c, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c)
     return df.select(*cols)
 
 
 def query(fn):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: shown(fn(spark, sf_dir))
+    digits = FINE_DIGITS.get(fn.__name__, DIGITS)
+    QUERIES[fn.__name__] = lambda spark, sf_dir: shown(fn(spark, sf_dir), digits)
     return fn
 
 
@@ -412,7 +417,7 @@ def encode_group_v2(spark, sf):
 def attach_coding(spark, sf):
     t = TR.cell_key(clean(spark, sf), ("dependency", "block"))
     x = C.attach_coding(t, SEVEN)
-    return x.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"avg(`{h}`) as `{a}`") for h, a in (("Dependency", "dependency"), ("Adjacency", "adjacency"), ("Block 6-7", "block_6_7"))])
+    return x.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"avg(`{h}`) as `{a}`") for h, a in (("CONDDependency", "dep"), ("CONDAdjacency", "adj"), ("CONDBlock6M7", "block_6_7"))])
 
 
 @query

@@ -7,6 +7,7 @@ yes/no judgements.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -81,20 +82,28 @@ def all_cells() -> list[str]:
     return [f"{g}_{c}" for g in COHORTS for c in contrasts.design("seven_block").cell_names]
 
 
-def cell_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell-draw table, written once per application to the shared folder and read from there."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A draw table written once per application to the shared folder and read from there.
+
+    Draw tables are stored results that many reports read; parquet lets each read only its columns.
+    """
     made = _written.setdefault(spark.sparkContext.applicationId, {})
-    if sf_dir not in made:
-        path = f"{checkpoint_dir(spark)}/cell-draws-{uuid.uuid4().hex}"
-        _build_cell_draws(spark, sf_dir).write.parquet(path)
-        made[sf_dir] = (path, spark.read.parquet(path).schema)
-    path, schema = made[sf_dir]
+    if (sf_dir, name) not in made:
+        path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df = build()
+        df.write.parquet(path)
+        made[sf_dir, name] = (path, df.schema)
+    path, schema = made[sf_dir, name]
     return spark.read.schema(schema).parquet(path)
 
 
 _written: dict[str, dict] = {}
 
 
+def cell_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "cell-draws", lambda: _build_cell_draws(spark, sf_dir))
+
+
 def _trend(cells: list[tuple[str, int]]) -> str:
     """SQL for the slope of cell values on block number: a stand-in for a repetition effect."""
     mean = sum(b for _, b in cells) / len(cells)
@@ -104,6 +113,10 @@ def _trend(cells: list[tuple[str, int]]) -> str:
 
 def seven_block_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide parameter draws of the 7-block model, one row per cohort and draw."""
+    return _stored(spark, sf_dir, "seven-block-draws", lambda: _build_seven_block(spark, sf_dir))
+
+
+def _build_seven_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = contrasts.design("seven_block")
     wide = cell_draws(spark, sf_dir)
     per_cohort = []
@@ -121,6 +134,10 @@ def seven_block_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def group_draws(spark: SparkSession, sf_dir: str, d: Design) -> DataFrame:
     """Wide parameter draws of a group model, with log residual scale and shift per group."""
+    return _stored(spark, sf_dir, d.name, lambda: _build_group(spark, sf_dir, d))
+
+
+def _build_group(spark: SparkSession, sf_dir: str, d: Design) -> DataFrame:
     wide = cell_draws(spark, sf_dir)
     keep = ["draw", "chain"]
     for g in COHORTS:
