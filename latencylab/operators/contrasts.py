@@ -244,3 +244,17 @@ def coefficient_to_ms(params: DataFrame, names: list[str], k: float, intercept:
     effects = {n: f"exp(`{intercept}` + `{n}` / {float(k)!r}D) - {base}" for n in names}
     effects[intercept] = base
     return params.selectExpr(*[f"{effects.get(c, f'`{c}`')} as `{c}`" for c in params.columns])
+
+
+def decode_by_join(draws: DataFrame, d: Design, intercept: str = "b_Intercept") -> DataFrame:
+    """Long ``(draw, parameter, value)`` draws to ``(draw, cell, value)``.
+
+    For draws stored long; every draw meets every cell of the coding, whose size the design fixes, and
+    partial sums per draw and cell are formed before the shuffle.  Prefer ``decode_wide`` on wide draws.
+    """
+    x = d.coding()
+    rows = [(p, c, float(x[i, j])) for i, c in enumerate(d.cell_names) for j, p in enumerate(d.parameters)]
+    rows += [(intercept, c, 1.0) for c in d.cell_names]
+    coding = draws.sparkSession.createDataFrame(rows, "parameter string, cell string, coding double")
+    joined = draws.join(F.broadcast(coding), "parameter")
+    return joined.groupBy("draw", "cell").agg(F.expr("sum(value * coding) as value"))
