@@ -504,6 +504,11 @@ def oracle_sql() -> dict[str, str]:
     out["median_by_cell"] = W + CLEAN + f" SELECT {ck}, count(*) AS n, round(median(rt), 4) AS median FROM clean GROUP BY ALL"
     out["hpdi_by_cell"] = W + CLEAN + f", {shortest('i', 'clean', CELL, 'rt')} SELECT {ck}, round(lo, 4) AS lo, round(hi, 4) AS up FROM i"
     out["percentile_interval"] = W + CLEAN + f" SELECT {ck}, round(quantile_cont(rt, 0.025), 6) AS lo, round(quantile_cont(rt, 0.975), 6) AS up FROM clean GROUP BY ALL"
+    dp = ["dependency"]
+    out["pooled_summary"] = W + CLEAN + f""", {mode("m", "clean", dp, "rt")}, {shortest("i", "clean", dp, "rt")}, {shortest("h", "clean", dp, "rt", 0.89, "hdi")},
+md AS (SELECT dependency, count(*) AS n, median(rt) AS median FROM clean GROUP BY 1)
+SELECT dependency, n, {r("median")}, round(i.lo, 4) AS lo_95, round(i.hi, 4) AS hi_95, round(h.lo, 4) AS lo_89, round(h.hi, 4) AS hi_89, {r("mode")}
+FROM md JOIN m USING (dependency) JOIN i USING (dependency) JOIN h USING (dependency)"""
     out["tail_probability"] = W + ld + """ SELECT "group", dependency, effect, count(*) AS n, round(avg(CAST(value < 0 AS DOUBLE)), 4) AS p_below, round(avg(CAST(value > 0 AS DOUBLE)), 4) AS p_above FROM diffs GROUP BY ALL"""
     out["rope_share_by_effect"] = W + ld + f""", {shortest('hdi', 'diffs', BY, 'value', 0.89, 'hdi')}
 SELECT a."group", a.dependency, a.effect, round(any_value(lo), 4) AS lo_89, round(any_value(hi), 4) AS hi_89,
@@ -550,6 +555,8 @@ SELECT draw, "group", dependency, effect, {r("value")}, {r("phi")}, round({probi
     for d in (v1, v2, v3):
         out[f"decode_{d.name}"] = W + CELLS + " SELECT draw, " + ", ".join(
             f"round(max(value) FILTER (\"group\" = '{g}' AND dependency = '{dep}' AND block = {b}), 4) AS {g}_{dep}_{b}" for g, dep, b in d.cells) + " FROM cell GROUP BY draw"
+    blocks = ", ".join(map(str, v1.blocks))
+    out["decode_by_join"] = W + CELLS + f""" SELECT draw, "group" || '_' || dependency || '_' || block AS cell, round(value, 4) AS value FROM cell WHERE block IN ({blocks})"""
     out["encode_group_v2"] = W + params_group(v2) + " SELECT draw, parameter, round(value, 4) AS value FROM params WHERE parameter LIKE 'b!_COND%' ESCAPE '!'"
     coding = seven.coding()
     picks = [seven.parameters.index(p) for p in ("b_CONDDependency", "b_CONDAdjacency", "b_CONDBlock6M7")]

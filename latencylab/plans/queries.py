@@ -242,6 +242,16 @@ def percentile_interval(spark, sf):
     return s.select(*CELL, "lo", "up")
 
 
+@query
+def pooled_summary(spark, sf):
+    """The path of large groups: histogram and rank passes instead of one array per group."""
+    s = summarise(
+        clean(spark, sf), ["dependency"], "rt", quantiles={"median": 0.5}, intervals=[HPDI95, HDI89], mode=True,
+        groups=3, array_rows=0,
+    )
+    return s.select("dependency", "n", "median", "lo_95", "hi_95", "lo_89", "hi_89", "mode")
+
+
 @query
 def tail_probability(spark, sf):
     rows = v3_log_differences(spark, sf)
@@ -408,6 +418,13 @@ for _d in (V1, V2, V3):
     _decode_group(_d)
 
 
+@query
+def decode_by_join(spark, sf):
+    p = WH.group_draws(spark, sf, V1)
+    long = R.gather(p, ["draw"], ["b_Intercept", *V1.parameters])
+    return C.decode_by_join(long, V1)
+
+
 @query
 def encode_group_v2(spark, sf):
     return R.gather(WH.group_draws(spark, sf, V2), ["draw"], list(V2.parameters))
