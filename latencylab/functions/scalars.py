@@ -37,9 +37,9 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _horner(coefficients, x: Column) -> Column:
-    """Highest power first."""
-    return reduce(lambda acc, k: acc * x + F.lit(k), coefficients[1:], F.lit(coefficients[0]))
+def _horner(coefficients, x: str) -> str:
+    """SQL for a polynomial, highest power first."""
+    return reduce(lambda acc, k: f"({acc} * {x} + {k!r}D)", coefficients[1:], f"{coefficients[0]!r}D")
 
 
 def logit_to_prob(x: Column | str) -> Column:
@@ -54,28 +54,23 @@ def empirical_logit(successes: Column | str, total: Column | str) -> Column:
     return F.log((y + 0.5) / (n - y + 0.5))
 
 
-def normal_cdf(x: Column | str) -> Column:
-    x = _col(x)
-    t = 1.0 / (1.0 + CDF_P * F.abs(x))
-    height = F.exp(-x * x / 2.0) * NORMAL_HEIGHT_AT_ZERO
-    upper = height * t * _horner(tuple(reversed(CDF_B)), t)
-    return F.when(x >= 0, 1.0 - upper).otherwise(upper)
-
-
-def probit(p: Column | str) -> Column:
-    """Inverse normal CDF; NULL outside the open unit interval."""
-    p = _col(p)
-    q = p - 0.5
-    r = q * q
-    centre = _horner(PROBIT_A, r) * q / (_horner(PROBIT_B, r) * r + 1.0)
-    tail_p = F.least(p, 1.0 - p)
-    t = F.sqrt(-2.0 * F.log(tail_p))
-    tail = _horner(PROBIT_C, t) / (_horner(PROBIT_D, t) * t + 1.0)
-    return (
-        F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-        .when(p < PROBIT_LOW, tail)
-        .when(p > 1.0 - PROBIT_LOW, -tail)
-        .otherwise(centre)
+def normal_cdf(x: str) -> Column:
+    """Normal CDF of a column name or SQL expression."""
+    t = f"(1D / (1D + {CDF_P!r}D * abs({x})))"
+    height = f"exp(-({x}) * ({x}) / 2D) * {NORMAL_HEIGHT_AT_ZERO!r}D"
+    upper = f"({height} * {t} * {_horner(tuple(reversed(CDF_B)), t)})"
+    return F.expr(f"if({x} >= 0, 1D - {upper}, {upper})")
+
+
+def probit(p: str) -> Column:
+    """Inverse normal CDF of a column name or SQL expression; NULL outside the open unit interval."""
+    q, r = f"({p} - 0.5D)", f"(({p} - 0.5D) * ({p} - 0.5D))"
+    centre = f"{_horner(PROBIT_A, r)} * {q} / ({_horner(PROBIT_B, r)} * {r} + 1D)"
+    t = f"sqrt(-2D * ln(least({p}, 1D - {p})))"
+    tail = f"{_horner(PROBIT_C, t)} / ({_horner(PROBIT_D, t)} * {t} + 1D)"
+    return F.expr(
+        f"case when {p} <= 0 or {p} >= 1 then null when {p} < {PROBIT_LOW}D then {tail} "
+        f"when {p} > 1D - {PROBIT_LOW}D then -({tail}) else {centre} end"
     )
 
 

@@ -16,9 +16,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
-from latencylab.operators.sizing import BROADCAST_GROUPS, cut_lineage, few_groups, settle
+from latencylab.operators.sizing import BROADCAST_GROUPS, cut_lineage, few_groups, settle_rows
 
 BINS = 1024  # histogram bins per group
 SLICE_ROWS = 200_000  # target rows per ranking window
@@ -81,7 +81,10 @@ class _Passes:
 
     def hold(self, per_group: DataFrame) -> DataFrame:
         """Compute a row-per-group table once: locally if the groups are few, else checkpointed."""
-        return settle(per_group, BROADCAST_GROUPS) if self.few else cut_lineage(per_group)
+        return self.hold_rows(per_group)[0]
+
+    def hold_rows(self, per_group: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+        return settle_rows(per_group, BROADCAST_GROUPS) if self.few else (cut_lineage(per_group), None)
 
     def stats(self, tails: list[Tail]) -> DataFrame:
         aggs = [
@@ -292,9 +295,10 @@ def summarise(
         probs.update({"_q1": 0.25, "_q3": 0.75})
     out = passes.stats(tails)
     if probs or intervals:
-        stats = passes.hold(out)
+        stats, rows = passes.hold_rows(out)
+        largest = max((r.n for r in rows), default=0) if rows is not None else stats.agg(F.max("n")).first()[0]
         hist = None
-        if (stats.agg(F.max("n")).first()[0] or 0) <= array_rows:
+        if (largest or 0) <= array_rows:
             located = _locate_in_arrays(passes, intervals, list(probs.values()))
         else:
             hist = cut_lineage(passes.histogram(stats))

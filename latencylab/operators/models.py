@@ -83,7 +83,7 @@ def sdt_counts(judgements: DataFrame, by: list[str]) -> DataFrame:
 
 def _z(successes: str, total: str):
     """z-score of a proportion with half a count added to both outcomes."""
-    return S.probit(F.expr(f"({successes} + 0.5D) / ({total} + 1)"))
+    return S.probit(f"(({successes} + 0.5D) / ({total} + 1))")
 
 
 def signal_detection(judgements: DataFrame, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 BROADCAST_GROUPS = 512
 BROADCAST_ROWS = 50_000
@@ -51,7 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def settle(df: DataFrame, limit: int) -> DataFrame:
     """A per-group aggregate as a local table if it has at most ``limit`` rows, else checkpointed."""
+    return settle_rows(df, limit)[0]
+
+
+def settle_rows(df: DataFrame, limit: int) -> tuple[DataFrame, list[Row] | None]:
+    """As ``settle``, with the fetched rows if there were few enough."""
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return cut_lineage(df)
+        return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return cut_lineage(df), None

@@ -41,7 +41,8 @@ def query(fn):
 
 
 def clean(spark, sf):
-    return TR.clean_trials(WH.trials(spark, sf))
+    """Cleaned trials; the same conditions on stored columns let the scan skip row groups."""
+    return TR.clean_trials(WH.trials(spark, sf, WH.CLEAN_ON_STORED))
 
 
 def cell_rows(spark, sf) -> DataFrame:
@@ -357,7 +358,7 @@ def empirical_logit(spark, sf):
 @query
 def normal_cdf_probit(spark, sf):
     x = v3_log_differences(spark, sf).withColumn("phi", S.normal_cdf("value"))
-    return x.withColumn("z", S.probit(F.round("phi", 6)))
+    return x.withColumn("z", S.probit("round(phi, 6)"))
 
 
 @query

@@ -35,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line as a trial, uncleaned."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def trials(spark: SparkSession, sf_dir: str, stored_filter: str | None = None) -> DataFrame:
+    """Every order line as a trial, uncleaned unless a filter on stored columns is given."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.where(stored_filter) if stored_filter else lines
+    return lines.selectExpr(
         f"{COHORT_OF_STATUS} as group",
         "l_suppkey as subj",
         "l_partkey % 40 as stim",
