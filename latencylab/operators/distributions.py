@@ -59,6 +59,15 @@ class Tail:
     below: bool = True
 
 
+@dataclass(frozen=True)
+class Rope:
+    """Percentage of the values inside the interval called ``interval`` that lie in ``[low, high]``."""
+
+    interval: str
+    low: float = -0.1
+    high: float = 0.1
+
+
 HPDI95 = Interval("95", 0.95)
 HDI89 = Interval("89", 0.89, "hdi")
 BELOW_ZERO = Tail("p_below")
@@ -220,7 +229,9 @@ def _locate(ranked: DataFrame, intervals: list[Interval], slice_rows: int) -> Da
     return e.groupBy("_g").agg(*[F.expr(a) for a in aggs])
 
 
-def _locate_in_arrays(passes: _Passes, intervals: list[Interval], probs: list[float]) -> DataFrame:
+def _locate_in_arrays(
+    passes: _Passes, intervals: list[Interval], probs: list[float], rope: Rope | None
+) -> DataFrame:
     """As ``_locate``, from one sorted array per group; only for groups of a checked size."""
     a = passes.values.groupBy("_g").agg(F.expr("sort_array(collect_list(_v)) as s"))
     a = a.selectExpr("_g", "s", "cast(size(s) as bigint) as n")
@@ -232,7 +243,14 @@ def _locate_in_arrays(passes: _Passes, intervals: list[Interval], probs: list[fl
         # of equal widths the smallest start value is the lowest rank
         entry = f"struct(round(b - a, {WIDTH_DIGITS}) as w, a as lo, b as hi)"
         cols.append(f"if(n > {iv.gap()}, array_min(zip_with({starts}, {ends}, (a, b) -> {entry})), null) as iv_{i}")
-    return a.selectExpr("_g", *cols)
+    names = ["_g", "at", *[f"iv_{i}" for i in range(len(intervals))]]
+    if rope is None:
+        return a.selectExpr("_g", *cols)
+    i = [iv.name for iv in intervals].index(rope.interval)
+    lo, hi = f"coalesce(iv_{i}.lo, s[0])", f"coalesce(iv_{i}.hi, s[size(s) - 1])"
+    inside = f"filter(s, v -> v between {lo} and {hi})"
+    share = f"100D * size(filter(inside, v -> v between {rope.low!r}D and {rope.high!r}D)) / size(inside) as rope"
+    return a.selectExpr("_g", "s", *cols).selectExpr("*", f"{inside} as inside").selectExpr(*names, share)
 
 
 def bandwidth(n: str, sd: str, iqr: str, fallback: str) -> str:
@@ -276,6 +294,7 @@ def summarise(
     tails: list[Tail] | None = None,
     mode: bool = False,
     height_at: float | None = None,
+    rope: Rope | None = None,
     groups: int | None = None,
     array_rows: int = ARRAY_ROWS,
     slice_rows: int = SLICE_ROWS,
@@ -284,7 +303,7 @@ def summarise(
 
     ``quantiles`` maps output names to probabilities (linear interpolation), ``intervals`` yield
     ``lo_<name>`` and ``hi_<name>``, ``mode`` is the kernel-density mode and ``height_at`` the density at
-    a point.  ``groups`` is an upper bound on the number of groups if the caller knows one (the cells of
+    a point, ``rope`` the share of an interval's values in a range.  ``groups`` is an upper bound on the number of groups if the caller knows one (the cells of
     a design); without it they are counted.
     """
     quantiles, intervals, tails = dict(quantiles or {}), list(intervals or []), list(tails or [])
@@ -299,7 +318,7 @@ def summarise(
         largest = max((r.n for r in rows), default=0) if rows is not None else stats.agg(F.max("n")).first()[0]
         hist = None
         if (largest or 0) <= array_rows:
-            located = _locate_in_arrays(passes, intervals, list(probs.values()))
+            located = _locate_in_arrays(passes, intervals, list(probs.values()), rope)
         else:
             hist = cut_lineage(passes.histogram(stats))
             bins = _needed_bins(hist, list(probs.values()), intervals)
@@ -312,7 +331,11 @@ def summarise(
         for i, iv in enumerate(intervals):
             cols.append(f"coalesce(iv_{i}.lo, _min) as lo_{iv.name}")
             cols.append(f"coalesce(iv_{i}.hi, _max) as hi_{iv.name}")
+        cols += ["rope"] if "rope" in located.columns else []
         out = stats.join(passes.attach(located), "_g", "left").selectExpr(*stats.columns, *cols)
+        if rope is not None and "rope" not in out.columns:
+            bounds = out.selectExpr("_g", f"lo_{rope.interval} as _lo", f"hi_{rope.interval} as _hi")
+            out = out.join(passes.attach(_shares(passes, bounds, rope.low, rope.high)), "_g", "left")
         if kernel:
             h = bandwidth("n", "sd", "(_q3 - _q1)", "_min")
             shape = out.selectExpr("_g", "n", "_min", "_max", f"{h} as h")
@@ -327,6 +350,7 @@ def summarise(
     for iv in intervals:
         names += [f"lo_{iv.name}", f"hi_{iv.name}"]
     names += [t.name for t in tails]
+    names += ["rope"] if rope is not None else []
     names += ["mode"] if mode else []
     names += ["height"] if height_at is not None else []
     return out.selectExpr(*names)
@@ -345,7 +369,12 @@ def rope_share(
 ) -> DataFrame:
     """Percentage of the draws inside each group's interval that fall in ``[low, high]``."""
     passes = _Passes(df, by, value, groups)
-    b = passes.hold(bounds.selectExpr(f"struct({', '.join(f'`{k}`' for k in by)}) as _g", f"{lo} as _lo", f"{hi} as _hi"))
-    x = passes.values.join(passes.attach(b), "_g").where("_v between _lo and _hi")
+    key = f"struct({', '.join(f'`{k}`' for k in by)}) as _g"
+    shares = _shares(passes, bounds.selectExpr(key, f"{lo} as _lo", f"{hi} as _hi"), low, high)
+    return shares.selectExpr(*[f"_g.`{k}` as `{k}`" for k in by], "rope")
+
+
+def _shares(passes: _Passes, bounds: DataFrame, low: float, high: float) -> DataFrame:
+    x = passes.values.join(passes.attach(passes.hold(bounds)), "_g").where("_v between _lo and _hi")
     share = f"100 * avg(cast(_v between {low!r}D and {high!r}D as double)) as rope"
-    return x.groupBy("_g").agg(F.expr(share)).selectExpr(*[f"_g.`{k}` as `{k}`" for k in by], "rope")
+    return x.groupBy("_g").agg(F.expr(share))

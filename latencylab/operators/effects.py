@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from latencylab.operators.contrasts import Design, decode_wide
-from latencylab.operators.distributions import BELOW_ZERO, HDI89, HPDI95, rope_share, summarise
-from latencylab.operators.sizing import BROADCAST_GROUPS, settle
+from latencylab.operators.distributions import BELOW_ZERO, HDI89, HPDI95, Rope, summarise
 
 # Block pairs (later, earlier) behind each named effect.
 BLOCK_EFFECTS = {
@@ -96,18 +95,21 @@ def effect_sizes(
     keys = [k for k, _ in differences[0].keys]
     n = 2 * len(differences)
     s = summarise(
-        rows, [*keys, "measure"], intervals=[HPDI95, HDI89], tails=[BELOW_ZERO], mode=True, groups=n
+        rows,
+        [*keys, "measure"],
+        intervals=[HPDI95, HDI89],
+        tails=[BELOW_ZERO],
+        mode=True,
+        rope=Rope(HDI89.name, ROPE_LOW, ROPE_HIGH),
+        groups=2 * len(differences),
     )
-    s = settle(s, BROADCAST_GROUPS)
-    std = rows.where("measure = 'd'")
-    rope = rope_share(std, keys, s.where("measure = 'd'"), low=ROPE_LOW, high=ROPE_HIGH, groups=n)
     pick = "max(if(measure = '{m}', {c}, null)) as {a}"
     wanted = [
         ("rt", "mode", "rt_med"), ("rt", "lo_95", "rt_lo"), ("rt", "hi_95", "rt_up"), ("rt", "p_below", "p"),
         ("d", "mode", "d_med"), ("d", "lo_95", "d_lo"), ("d", "hi_95", "d_up"),
+        ("d", "rope", "rope"),
     ]
-    table = s.groupBy(*keys).agg(*[F.expr(pick.format(m=m, c=c, a=a)) for m, c, a in wanted])
-    return table.join(rope, keys, "left")
+    return s.groupBy(*keys).agg(*[F.expr(pick.format(m=m, c=c, a=a)) for m, c, a in wanted])
 
 
 def _cell(group: str, dependency: str, block: int) -> str:

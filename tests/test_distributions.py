@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from latencylab.operators.distributions import (
-    BELOW_ZERO, HDI89, HPDI95, Interval, Tail, rope_share, summarise,
+    BELOW_ZERO, HDI89, HPDI95, Interval, Rope, Tail, rope_share, summarise,
 )
 
 
@@ -113,6 +113,9 @@ def test_rope(spark):
     inside = [x for x in xs if lo <= x <= hi]
     want = 100 * sum(-0.1 <= x <= 0.1 for x in inside) / len(inside)
     assert rope_share(df, ["g"], hdi, groups=1).first().rope == pytest.approx(want)
+    for rows in (100_000, 0):
+        s = summarise(df, ["g"], intervals=[HPDI95, HDI89], rope=Rope("89"), groups=1, array_rows=rows)
+        assert s.first().rope == pytest.approx(want)
 
 
 def test_hpdi_not_wider_than_central_interval(mixed):
