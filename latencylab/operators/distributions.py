@@ -276,7 +276,9 @@ def _density(passes: _Passes, hist: DataFrame, shape: DataFrame, at: float | Non
         f"(_max - _min + {2 * GRID_MARGIN} * h) / {GRID - 1} as dx",
     )
     # few rows but hundreds of kernel evaluations each: spread them over all tasks
-    k = k.repartition(int(k.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "_bin")
+    spark = k.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    k = k.repartition(tasks, "_g", "_bin")
     low = f"cast(greatest(0, ceil((l - {KERNEL_CUT} * h - x0) / dx)) as int)"
     high = f"cast(least({GRID - 1}, floor((l + step + {KERNEL_CUT} * h - x0) / dx)) as int)"
     k = k.selectExpr("_g", "c", "f", "l", "step", "n", "h", "x0", "dx", f"explode(sequence({low}, {high})) as g")

@@ -9,6 +9,8 @@ from latencylab.operators.distributions import summarise
 # Response-time bounds in ms, exclusive.
 RT_LOW, RT_HIGH = 100.0, 10_000.0
 
+WINDOW_ROWS = 1_000_000  # most rows with one value that a window numbers directly
+
 
 def clean_trials(df: DataFrame, rt_range: tuple[float, float] | None = (RT_LOW, RT_HIGH)) -> DataFrame:
     """Correct responses inside the RT bounds that belong to one dependency and do not start it."""
@@ -60,21 +62,40 @@ def dense_ids(df: DataFrame, columns: list[str], name: str, prefix: int) -> Data
     return ranked.join(offsets, "_bucket").selectExpr(*columns, f"_skip + _rank as `{name}`")
 
 
-def ordinal_within(df: DataFrame, by: list[str], lead: str, rest: list[str], name: str = "ordinal", step: float = 1.0):
-    """Running number per group in the order of ``lead`` (numeric), then ``rest``.
+def ordinal_within(
+    df: DataFrame,
+    by: list[str],
+    order: list[str],
+    name: str = "ordinal",
+    steps: dict[str, float] | None = None,
+    limit: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Running number per group in the order of numeric, non-null columns.
 
-    Rows are numbered inside steps of ``lead`` and shifted by the sizes of the steps before, so no window
-    holds a whole group; choose ``step`` so that one step is a task's worth of rows.
+    No window holds a whole group: values of the first order column are counted, the counts summed up in
+    steps of that column, and rows numbered only among equals.  If more than ``limit`` rows share a value,
+    the next order column splits them the same way.
     """
+    lead, rest = order[0], order[1:]
     keys = ", ".join(f"`{b}`" for b in by)
-    order = ", ".join(f"`{c}`" for c in [lead, *rest])
-    rows = df.selectExpr("*", f"cast(floor(`{lead}` / {float(step)!r}D) as bigint) as _step")
-    sizes = rows.groupBy(*by, "_step").agg(F.count("*").alias("_size"))
-    before = f"over (partition by {keys} order by _step rows between unbounded preceding and 1 preceding)"
-    offsets = sizes.selectExpr(*by, "_step", f"coalesce(sum(_size) {before}, 0L) as _skip")
-    ranked = rows.selectExpr("*", f"row_number() over (partition by {keys}, _step order by {order}) as _rank")
-    joined = ranked.join(offsets, [*by, "_step"])
-    return joined.selectExpr(*df.columns, f"_skip + _rank as `{name}`")
+    step = float((steps or {}).get(lead, 1.0))
+    sizes = df.groupBy(*by, lead).agg(F.count("*").alias("_size"))
+    sizes = sizes.selectExpr("*", f"cast(floor(`{lead}` / {step!r}D) as bigint) as _step")
+    before = "rows between unbounded preceding and 1 preceding"
+    per_step = sizes.groupBy(*by, "_step").agg(F.sum("_size").alias("_step_size"))
+    per_step = per_step.selectExpr(
+        *by, "_step", f"coalesce(sum(_step_size) over (partition by {keys} order by _step {before}), 0L) as _skip"
+    )
+    inside = f"over (partition by {keys}, _step order by `{lead}` {before})"
+    skips = sizes.join(per_step, [*by, "_step"]).selectExpr(
+        *by, lead, f"_skip + coalesce(sum(_size) {inside}, 0L) as _skip"
+    )
+    if rest and (sizes.agg(F.max("_size")).first()[0] or 0) > limit:
+        ranked = ordinal_within(df, [*by, lead], rest, "_rank", steps, limit)
+    else:
+        ties = ", ".join(f"`{c}`" for c in (rest or [lead]))
+        ranked = df.selectExpr("*", f"row_number() over (partition by {keys}, `{lead}` order by {ties}) as _rank")
+    return ranked.join(skips, [*by, lead]).selectExpr(*df.columns, f"_skip + _rank as `{name}`")
 
 
 def z_score(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -138,7 +138,7 @@ def zscore_trial(spark, sf):
 @query
 def row_ordinal(spark, sf):
     t = clean(spark, sf).select("group", "block", "rt", "subj", "stim", "trial_in_block")
-    return TR.ordinal_within(t, ["group", "block"], "rt", ["subj", "stim", "trial_in_block"], step=100.0)
+    return TR.ordinal_within(t, ["group", "block"], ["rt", "subj", "stim", "trial_in_block"], steps={"rt": 100.0, "subj": 50.0})
 
 
 @query

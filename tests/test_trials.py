@@ -50,15 +50,18 @@ def test_dense_ids_do_not_depend_on_the_buckets(few, prefix):
     assert got == {("adults", 1): 1, ("adults", 2): 2, ("children", 10): 3, ("children", 2): 4}
 
 
-@pytest.mark.parametrize("step", [0.5, 10.0, 1e9])
-def test_ordinal_within(spark, step):
+@pytest.mark.parametrize("step,limit", [(0.5, 10**6), (10.0, 10**6), (1e9, 10**6), (10.0, 3)])
+def test_ordinal_within(spark, step, limit):
     rng = np.random.default_rng(5)
-    rows = [(i % 3, float(v), i) for i, v in enumerate(rng.integers(0, 60, 300))]
-    df = spark.createDataFrame(rows, "g int, v double, i int")
-    got = {(r.g, r.i): r.ordinal for r in T.ordinal_within(df, ["g"], "v", ["i"], step=step).collect()}
+    hot = [7] * 150  # one value holds a third of the rows
+    rows = [(i % 3, float(v), i % 40, i) for i, v in enumerate([*rng.integers(0, 60, 300), *hot])]
+    df = spark.createDataFrame(rows, "g int, v double, j int, i int")
+    numbered = T.ordinal_within(df, ["g"], ["v", "j", "i"], steps={"v": step, "i": 20.0}, limit=limit)
+    got = {r.i: r.ordinal for r in numbered.collect()}
+    assert len(got) == len(rows)
     for g in range(3):
-        for k, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
-            assert got[g, i] == k + 1
+        for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
+            assert got[r[3]] == k + 1
 
 
 def test_z_score(spark):
