@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latencylab.llm import byte_bpe
+from latencylab.llm import byte_bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,9 @@ def op10_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(docs, path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    found = simhash.with_hex(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SLICE_ROWS = 256  # texts turned into Python strings at a time
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where its folder is not on their path already."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, name = os.path.split(package)
+    sc = spark.sparkContext
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or root == os.getcwd() or getattr(sc, "_llm_package_shipped", False):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name))
+    sc._llm_package_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -53,7 +66,7 @@ def per_batch(
     df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Map slices of a table, as lists by column, to lists of output columns; nothing is carried over."""
-    out = arrow_schema(df.sparkSession, schema)
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +75,15 @@ def per_batch(
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
