@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, simhash
+from latencylab.llm import byte_bpe, decontaminate, langid, simhash, unit_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,24 @@ def op10_byte_bpe(spark, sf_dir):
 def op3_simhash(spark, sf_dir):
     found = simhash.with_hex(simhash.near_duplicates(table(spark, sf_dir, "documents")))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("tag").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    identifier = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs, identifier).withColumnRenamed("id", "doc_id")
+    return found.withColumn("held_out", held_out)
+
+
+@query
+def op9_unit_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_dedup.dedup(docs)
