@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, decontaminate, langid, simhash, token_files, unit_dedup
+from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, simhash, token_files, unit_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op1_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_fingerprints(spark, sf_dir):
+    found = oneperm.as_text(oneperm.against_next(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
