@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, simhash, token_files, unit_dedup
+from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, simhash, token_files, unit_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,22 @@ def op1_token_files(spark, sf_dir):
 def op8_fingerprints(spark, sf_dir):
     found = oneperm.as_text(oneperm.against_next(table(spark, sf_dir, "documents")))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_warc"] = """
+with p as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+    from pages
+), f as (
+    select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by 1 having count(*) > 1
+)
+select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_digest,
+    case when f.first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+    case when f.first_id <> p.page_id then f.first_id end as refers_to
+from p left join f using (payload_digest)
+"""
