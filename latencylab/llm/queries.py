@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, reply_trees, simhash, token_files, unit_dedup, warc
+from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, reply_trees, simhash, token_files, unit_dedup, warc, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ select conv_id, count(*) as n_turns,
     cast(sum(chars) as bigint) as formatted_chars
 from e group by conv_id
 """
+
+
+@query
+def op5_wrappers(spark, sf_dir):
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
