@@ -31,6 +31,8 @@ TRAIN_DOCS = 1_000  # labelled rows per language
 TRAIN_CHARS = 3_000_000  # characters per language
 MODEL_BYTES = 256 << 20  # of all languages together
 REJECT_MARGIN = 1.5  # times the widest deviation seen in calibration
+UNSEEN_SHARE = 0.9  # of the entropy of unknown symbols; a text that reaches it is as good as unknown
+SALTS = 64  # groups in which a language's rows are ranked first
 SETTLED = 400  # symbols beyond which a text's entropy is not expected to come closer to the mean
 CHUNKS = 400_000
 LONGEST = 200  # characters of a chunk without white space; longer ones are cut
@@ -188,6 +190,9 @@ def sample(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS
     """``id, text, lang, calibrates`` of the rows to learn from; only ids and lengths are ranked."""
     order = Window.partitionBy("lang").orderBy("rank", "id", "size")
     light = labelled.select("id", "lang", F.xxhash64("id").alias("rank"), F.length("text").alias("size")).where("size > 0")
+    # the first of each salt, then the first of all: a language of most rows is not ranked by one task
+    salted = Window.partitionBy("lang", F.pmod("rank", F.lit(SALTS))).orderBy("rank", "id", "size")
+    light = light.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= docs)
     first = light.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = first.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -239,10 +244,12 @@ class Identifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
         """Language, score (0 to 1), cross-entropy, and whether the text is accepted."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [False] * len(texts)
         entropy, sizes = self.entropies(texts)
         languages, scores, least, accepted = [], [], [], []
         for row, n in zip(entropy, sizes.tolist()):
-            if not n or not self.languages:
+            if not n:
                 languages.append(UNKNOWN)
                 scores.append(0.0)
                 least.append(None)
@@ -282,7 +289,10 @@ def calibrate(identifier: Identifier, texts: DataFrame) -> Identifier:
     away = (own - np.array([means[k] for k in truth])) * np.sqrt(np.minimum(sizes, SETTLED))
     for k, mean in means.items():
         others = entropy[truth != k, k]
-        bounds[k] = mean, REJECT_MARGIN * float(away.max()), float(np.quantile(others, 0.01)) if len(others) else -np.inf
+        model = unpack(identifier.packed[k])
+        unseen = float(-(model["floor"][0] + model["backoff1"][0]))  # entropy of symbols the model does not know
+        foreign = min(float(np.quantile(others, 0.01)), UNSEEN_SHARE * unseen) if len(others) else -np.inf
+        bounds[k] = mean, REJECT_MARGIN * float(away.max()), foreign
     least = entropy.min(axis=1, keepdims=True)
 
     def loss(sharpness):

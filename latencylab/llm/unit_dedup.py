@@ -26,7 +26,7 @@ from latencylab.llm.shared import SLICE_ROWS, arrow_schema, map_arrow, only, per
 MIN_WORDS = 20
 COUNTED_WORDS = 4  # units shorter than this do not count towards MIN_WORDS
 OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”„‘’–—"
-CUT = regex.compile(r"[^\S\n]*\n\s*|(?<=[.!?…])\s+|\s+(?=\p{Lu})")
+CUT = regex.compile(r"[^\S\n]*\n\s*|(?<=[.!?…])\s+|\s+(?=\p{Lu}(?!\p{Lu}))")
 
 
 def cut_units(text: str) -> tuple[list[int], list[int]]:
