@@ -68,6 +68,7 @@ class Rope:
     high: float = 0.1
 
 
+MOST_SLICES = 10_000  # range partitions of the values that are ranked; only the size of a slice depends on it
 HPDI95 = Interval("95", 0.95)
 HDI89 = Interval("89", 0.89, "hdi")
 BELOW_ZERO = Tail("p_below")
@@ -93,7 +94,11 @@ class _Passes:
         return self.hold_rows(per_group)[0]
 
     def hold_rows(self, per_group: DataFrame) -> tuple[DataFrame, list[Row] | None]:
-        return settle_rows(per_group, BROADCAST_GROUPS) if self.few else (cut_lineage(per_group), None)
+        if not self.few:
+            return cut_lineage(per_group), None
+        held, rows = settle_rows(per_group, BROADCAST_GROUPS)
+        self.few = rows is not None  # more groups than the caller promised: join by shuffle from here on
+        return held, rows
 
     def stats(self, tails: list[Tail]) -> DataFrame:
         aggs = [
@@ -176,17 +181,22 @@ def _needed_bins(hist: DataFrame, probs: list[float], intervals: list[Interval])
     return per_bin.where(f"is_end or size(ranks) > 0 or {' or '.join(starts)}")
 
 
+def _sliced(distinct: DataFrame, slices: int) -> DataFrame:
+    """Cut distinct values of bins into slices of like size: range partitions at sampled quantiles.
+
+    However far apart the values lie, a slice holds about its share of them.  The partition numbers are stored,
+    since a repeated sampling might cut elsewhere.
+    """
+    ordered = distinct.repartitionByRange(min(int(slices), MOST_SLICES), "_g", "_bin", "_v")
+    return cut_lineage(ordered.withColumn("_slice", F.spark_partition_id()))
+
+
 def _ranked(passes: _Passes, stats: DataFrame, bins: DataFrame, slice_rows: int) -> DataFrame:
     """Distinct values of the needed bins with the rank range ``r1..r2`` each one covers."""
-    wanted = bins.selectExpr("_g", "_bin", "lo", "hi", f"cast(ceil(c / {slice_rows}) as bigint) as slices")
-    rows = passes.binned(stats).select("_g", "_bin", "_v").join(passes.attach(wanted), ["_g", "_bin"])
-    cut = "if(slices > 1 and hi > lo, least(floor((_v - lo) / (hi - lo) * slices), slices - 1), 0L)"
+    rows = passes.binned(stats).select("_g", "_bin", "_v").join(passes.attach(bins.select("_g", "_bin")), ["_g", "_bin"])
     # equal values collapse before the shuffle, so a value holding most of the rows is one row
-    distinct = (
-        rows.selectExpr("_g", "_bin", f"{cut} as _slice", "_v")
-        .groupBy("_g", "_bin", "_slice", "_v")
-        .agg(F.count("*").alias("m"))
-    )
+    distinct = rows.groupBy("_g", "_bin", "_v").agg(F.count("*").alias("m"))
+    distinct = _sliced(distinct, bins.agg(F.expr(f"sum(ceil(c / {slice_rows}))")).first()[0] or 1)
     sizes = distinct.groupBy("_g", "_bin", "_slice").agg(F.sum("m").alias("m_slice"))
     before = "over (partition by _g, _bin order by _slice rows between unbounded preceding and 1 preceding)"
     heads = sizes.selectExpr("_g", "_bin", "_slice", f"coalesce(sum(m_slice) {before}, 0L) as skip")

@@ -8,12 +8,14 @@ from latencylab.functions import scalars as S
 from latencylab.operators import contrasts as C
 from latencylab.operators.distributions import Tail, summarise
 from latencylab.operators.reshape import join_lookup
+from latencylab.operators.sizing import cut_lineage
 
 SHIFT_SHARE = 0.9  # shift of the lognormal as a share of the fastest response of the group
 REPLICATES = 11  # simulated data sets of a predictive check
 
-# A linear congruential step turning (item, replicate) into a repeatable uniform number.
-UNIFORM = "((({item} % 1000003) * 48271 + {rep} * 69621 + 17) * 16807 % 2147483647) / 2147483647D"
+SDT_REPLICATES = 400  # draws of the signal-detection parameters
+# A repeatable uniform number in (0, 1) from 32 bits of a digest of a key, the same in any SQL engine.
+UNIFORM = "(conv(substr(md5({key}), 1, 8), 16, 10) + 0.5D) / 4294967296D"
 
 
 def shifted_lognormal_cells(trials: DataFrame, by=("group", "dependency", "block"), shift_by: str = "group") -> DataFrame:
@@ -54,22 +56,28 @@ def contrast_regression(trials: DataFrame, d: C.Design, cell: str = "cell") -> D
 
 
 def partial_pooling(trials: DataFrame, unit: str) -> DataFrame:
-    """Unit means of log RT pulled towards the grand mean by their method-of-moments reliability."""
-    per_unit = trials.groupBy(unit).agg(
+    """Unit means of log RT pulled towards the grand mean by their method-of-moments reliability.
+
+    Where the reliability cannot be told (a single unit, or one row in each), ``weight`` and ``pooled`` are NULL;
+    without any variation the weight is 0.
+    """
+    per_unit = cut_lineage(trials.groupBy(unit).agg(
         F.count("*").alias("n"), F.expr("avg(ln(rt)) as raw"), F.expr("coalesce(var_samp(ln(rt)), 0D) as v")
-    )
+    ))  # read twice below; the trials once
     t = per_unit.agg(
         *[F.expr(e) for e in (
             "sum(n) as n", "count(*) as j", "sum(n * raw) as s", "sum(cast(n as double) * n) as nn",
             "sum(n * raw * raw) as ss", "sum((n - 1) * v) as within",
         )]
     ).first()
+    if t["j"] < 2 or t["n"] == t["j"]:
+        return per_unit.selectExpr(unit, "n", "raw", "cast(null as double) as weight", "cast(null as double) as pooled")
     grand = t["s"] / t["n"]
     sigma2 = t["within"] / (t["n"] - t["j"])
     between = (t["ss"] - t["n"] * grand * grand) / (t["j"] - 1)
     n0 = (t["n"] - t["nn"] / t["n"]) / (t["j"] - 1)
     tau2 = max(0.0, (between - sigma2) / n0)
-    weight = f"{tau2!r}D / ({tau2!r}D + {sigma2!r}D / n)"
+    weight = f"coalesce(try_divide({tau2!r}D, {tau2!r}D + {sigma2!r}D / n), 0D)"
     return per_unit.selectExpr(
         unit, "n", "raw", f"{weight} as weight", f"{grand!r}D + {weight} * (raw - {grand!r}D) as pooled"
     )
@@ -81,38 +89,50 @@ def sdt_counts(judgements: DataFrame, by: list[str]) -> DataFrame:
     return judgements.groupBy(*by).agg(*[F.expr(f"sum(cast({c} as bigint)) as {n}") for n, c in names])
 
 
-def _z(successes: str, total: str):
-    """z-score of a proportion with half a count added to both outcomes."""
-    return S.probit(f"(({successes} + 0.5D) / ({total} + 1))")
+def _with_z(df: DataFrame, cells: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per named cell the z-score ``z_<name>`` of a proportion with half a count added to both outcomes.
+
+    Proportions become columns first, so the long formula of the inverse normal refers to a name.
+    """
+    p = df.withColumns({f"p_{c}": F.expr(f"({hit} + 0.5D) / ({n} + 1)") for c, (hit, n) in cells.items()})
+    p = p.withColumns({f"z_{c}": S.probit(f"p_{c}") for c in cells})
+    return p
 
 
 def signal_detection(judgements: DataFrame, by: list[str]) -> DataFrame:
     """Equal-variance d' and criterion c, where P(yes) = Phi(d' * isDep - c)."""
-    counts = sdt_counts(judgements, by)
-    z = counts.withColumns({"z_hit": _z("hits", "signals"), "z_fa": _z("fas", "noises")})
+    z = _with_z(sdt_counts(judgements, by), {"hit": ("hits", "signals"), "fa": ("fas", "noises")}).drop("p_hit", "p_fa")
     return z.withColumns({"dprime": F.expr("z_hit - z_fa"), "criterion": F.expr("-z_fa")})
 
 
-def sdt_fold_draws(judgements: DataFrame, folds: int) -> DataFrame:
-    """Leave-one-fold-out draws of criterion and d' for adjacent (English) and the other items."""
+def sdt_replicates(judgements: DataFrame, replicates: int = SDT_REPLICATES) -> DataFrame:
+    """Draws of criterion and d' for adjacent (English) and the other items.
+
+    The counts of hits and false alarms per kind of item are sufficient: one aggregate leaves one row.  A draw of
+    a z-score is its estimate plus its large-sample standard error times a normal number, which comes from a
+    digest of cell and replicate, so draws can be repeated and their number does not depend on the table.
+    """
     kinds = {"a": "dependency = 'en'", "n": "dependency != 'en'"}
-    cells = {
+    counts = {
         "hits": "expected = 'k' and given = 'k'", "signals": "expected = 'k'",
         "fas": "expected != 'k' and given = 'k'", "noises": "expected != 'k'",
     }
-    names = [(f"{c}_{k}", f"{kinds[k]} and {cells[c]}") for k in kinds for c in cells]
-    per_fold = judgements.groupBy((F.col("item") % folds).alias("draw")).agg(
-        *[F.expr(f"sum(cast({cond} as bigint)) as {n}") for n, cond in names]
-    )
-    totals = per_fold.agg(*[F.sum(n).alias(n) for n, _ in names]).first()
-    rest = per_fold.selectExpr("draw", *[f"{totals[n]} - {n} as {n}" for n, _ in names])
-    z = rest.withColumns({f"{p}_{k}": _z(f"{a}_{k}", f"{b}_{k}") for k in kinds for p, a, b in (("zh", "hits", "signals"), ("zf", "fas", "noises"))})
-    return z.selectExpr(
+    row = judgements.agg(*[F.expr(f"count_if({kinds[k]} and {c})").alias(f"{n}_{k}") for k in kinds for n, c in counts.items()])
+    cells = {f"{x}_{k}": (f"{hit}_{k}", f"{n}_{k}") for k in kinds for x, hit, n in (("hit", "hits", "signals"), ("fa", "fas", "noises"))}
+    z = _with_z(row, cells)
+    # delta method: the standard error of a proportion over the height of the normal density at its z-score
+    se = "sqrt(p_{c} * (1 - p_{c}) / ({n} + 1)) / (exp(-z_{c} * z_{c} / 2) / sqrt(2 * pi()))"
+    z = z.withColumns({f"se_{c}": F.expr(se.format(c=c, n=n)) for c, (_, n) in cells.items()})
+    draws = z.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("draw"))
+    draws = draws.withColumns({f"u_{c}": F.expr(UNIFORM.format(key=f"concat('{c}_', draw)")) for c in cells})
+    draws = draws.withColumns({f"e_{c}": S.probit(f"u_{c}") for c in cells})
+    draws = draws.selectExpr("cast(draw as bigint) as draw", *[f"z_{c} + se_{c} * e_{c} as {c}" for c in cells])
+    return draws.selectExpr(
         "draw",
-        "-zf_a as b_c_Intercept",
-        "zf_a - zf_n as b_c_dependencynonadjacent",
-        "zh_a - zf_a as b_dprime_Intercept",
-        "(zh_n - zf_n) - (zh_a - zf_a) as b_dprime_dependencynonadjacent",
+        "-fa_a as b_c_Intercept",
+        "fa_a - fa_n as b_c_dependencynonadjacent",
+        "hit_a - fa_a as b_dprime_Intercept",
+        "(hit_n - fa_n) - (hit_a - fa_a) as b_dprime_dependencynonadjacent",
     )
 
 
@@ -133,7 +153,7 @@ def simulated_judgements(judgements: DataFrame, replicates: int = REPLICATES) ->
         "dprime * cast(expected = 'k' as int) - criterion as eta",
         f"inline(array({', '.join(f'struct({r} as rep)' for r in range(replicates))}))",
     )
-    u = F.expr(UNIFORM.format(item="item", rep="rep"))
+    u = F.expr(UNIFORM.format(key="concat(item, '_', rep)"))
     return x.select("subj", "item", "dependency", "y", "rep", (u < S.normal_cdf("eta")).cast("int").alias("y_rep"))
 
 

@@ -32,20 +32,18 @@ JUDGE = f"""judge AS (
     n_chars >= {WH.LONG_TEXT} AS "sayDep", CAST((quality = 1) = (n_chars >= {WH.LONG_TEXT}) AS INTEGER) AS acc
   FROM labels JOIN documents USING (doc_id))"""
 CELLS = f"""
-bucketed AS (
-  SELECT (l_orderkey + 7 * l_partkey + 13 * l_suppkey + 31 * l_linenumber)
-      % (SELECT greatest(1, count(*) // {WH.DRAW_BUCKET_ROWS}) FROM lineitem) AS bucket,
+sliced AS (
+  SELECT (l_orderkey + 7 * l_partkey + 13 * l_suppkey + 31 * l_linenumber) % {WH.DRAW_SLICES} AS slice,
     CASE WHEN l_linestatus = 'F' THEN 'adults' ELSE 'children' END AS "group",
     CASE WHEN l_returnflag = 'A' THEN 'adjacent' WHEN l_returnflag = 'R' THEN 'nonadjacent' ELSE 'none' END AS dependency,
     l_linenumber AS block, ln(l_extendedprice / 10) AS value, lineitem.*
   FROM lineitem
   WHERE l_quantity > 2 AND l_extendedprice > 1000 AND l_extendedprice < 100000 AND l_discount <> 0 AND l_tax <> 0.08),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY bucket, "group", dependency, block ORDER BY l_orderkey, l_partkey,
-    l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM bucketed),
+  SELECT *, row_number() OVER (PARTITION BY "group", dependency, block ORDER BY slice, l_orderkey, l_partkey,
+    l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM sliced),
 cell AS MATERIALIZED (
-  SELECT bucket * 1000000 + k AS draw, "group", dependency, block, value FROM numbered
-  WHERE (bucket, k) IN (SELECT (bucket, k) FROM numbered GROUP BY bucket, k HAVING count(*) = 42)),
+  SELECT (k - 1) % {WH.DRAWS} AS draw, "group", dependency, block, avg(value) AS value FROM numbered GROUP BY ALL),
 wide AS MATERIALIZED (
   SELECT draw, "group", {", ".join(f"max(value) FILTER (dependency = '{d}' AND block = {b}) AS {d}_{b}" for d in DEPS for b in range(1, 8))}
   FROM cell GROUP BY draw, "group")"""
@@ -392,25 +390,34 @@ pr AS (SELECT *, (hits + 0.5::DOUBLE) / (signals + 1) AS ph, (fas + 0.5::DOUBLE)
 z AS (SELECT *, {probit("ph")} AS z_hit, {probit("pf")} AS z_fa FROM pr)"""
 
 
-def fold_draws() -> str:
-    parts, zs = [], []
-    for k, cond in (("a", "dependency = 'en'"), ("n", "dependency <> 'en'")):
-        for name, c in (("hits", '"isDep" AND "sayDep"'), ("signals", '"isDep"'), ("fas", 'NOT "isDep" AND "sayDep"'), ("noises", 'NOT "isDep"')):
-            parts.append(f"count(*) FILTER ({cond} AND {c}) AS {name}_{k}")
-    rest = [f"sum({n}) OVER () - {n} AS {n}" for n in (p.rsplit(" ", 1)[1] for p in parts)]
-    for k in "an":
-        zs.append(f"(hits_{k} + 0.5::DOUBLE) / (signals_{k} + 1) AS ph_{k}, (fas_{k} + 0.5::DOUBLE) / (noises_{k} + 1) AS pf_{k}")
+def uniform(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296"
+
+
+def replicate_draws() -> str:
+    counts, ps, zs, ses, us, es = [], [], [], [], [], []
+    cells = [(f"{x}_{k}", cond, yes, base) for k, cond in (("a", "dependency = 'en'"), ("n", "dependency <> 'en'"))
+             for x, yes, base in (("hit", '"isDep" AND "sayDep"', '"isDep"'), ("fa", 'NOT "isDep" AND "sayDep"', 'NOT "isDep"'))]
+    for c, cond, yes, base in cells:
+        counts += [f"count(*) FILTER ({cond} AND {yes}) AS x_{c}", f"count(*) FILTER ({cond} AND {base}) AS n_{c}"]
+        ps.append(f"(x_{c} + 0.5::DOUBLE) / (n_{c} + 1) AS p_{c}")
+        zs.append(f"{probit(f'p_{c}')} AS z_{c}")
+        ses.append(f"sqrt(p_{c} * (1 - p_{c}) / (n_{c} + 1)) * sqrt(2 * pi()) * exp(z_{c} * z_{c} / 2) AS se_{c}")
+        us.append(f"{uniform(f"'{c}_' || draw")} AS u_{c}")
+        es.append(f"z_{c} + se_{c} * ({probit(f'u_{c}')}) AS {c}")
     return JUDGE + f""",
-per AS (SELECT item % (SELECT greatest(2, count(*) // {WH.JUDGEMENT_FOLD_ROWS}) FROM labels) AS draw, {", ".join(parts)} FROM judge GROUP BY 1),
-rest AS (SELECT draw, {", ".join(rest)} FROM per),
-pr AS (SELECT draw, {", ".join(zs)} FROM rest),
-z AS (SELECT draw, {", ".join(f"{probit(f'p{x}_{k}')} AS z{x}_{k}" for k in "an" for x in "hf")} FROM pr),
-sdraws AS (SELECT draw, -zf_a AS "b_c_Intercept", zf_a - zf_n AS b_c_dependencynonadjacent,
-  zh_a - zf_a AS "b_dprime_Intercept", (zh_n - zf_n) - (zh_a - zf_a) AS b_dprime_dependencynonadjacent FROM z)"""
+cnt AS (SELECT {", ".join(counts)} FROM judge),
+pr AS (SELECT *, {", ".join(ps)} FROM cnt),
+zz AS (SELECT *, {", ".join(zs)} FROM pr),
+sz AS (SELECT *, {", ".join(ses)} FROM zz),
+un AS (SELECT sz.*, draw, {", ".join(us)} FROM sz, range({M.SDT_REPLICATES}) t(draw)),
+dr AS (SELECT draw, {", ".join(es)} FROM un),
+sdraws AS (SELECT draw, -fa_a AS "b_c_Intercept", fa_a - fa_n AS b_c_dependencynonadjacent,
+  hit_a - fa_a AS "b_dprime_Intercept", (hit_n - fa_n) - (hit_a - fa_a) AS b_dprime_dependencynonadjacent FROM dr)"""
 
 
 def simulated() -> str:
-    u = M.UNIFORM.format(item="item", rep="rep").replace("2147483647D", "2147483647::DOUBLE")
+    u = uniform("item || '_' || rep")
     return sdt("dependency") + f""",
 obs AS (SELECT j.subj, j.item, CAST(j."sayDep" AS INTEGER) AS y,
     (z_hit - z_fa) * CAST(j."isDep" AS INTEGER) + z_fa AS eta FROM judge j JOIN z USING (dependency)),
@@ -614,7 +621,7 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["q16_hit_rates"] = W + JUDGE + f""", {prop} SELECT CASE WHEN "isDep" THEN 'Hit' ELSE 'False alarm' END AS response, dependency, n, {r("m")}, {r("se")}, {r("m - 1.96 * se", "lower")}, {r("m + 1.96 * se", "upper")} FROM ps"""
     sd_cols = list(P.SDT_LABELS)
     sd_long = " UNION ALL ".join(f"""SELECT '{P.SDT_LABELS[c].replace("'", "''")}' AS param, "{c}" AS value FROM sdraws""" for c in sd_cols)
-    out["q17_sdt_table"] = W + fold_draws() + f", sl AS ({sd_long}) SELECT param, round_even(median(value), 2) AS med, round_even(quantile_cont(value, 0.025), 2) AS lo, round_even(quantile_cont(value, 0.975), 2) AS up FROM sl GROUP BY 1"
+    out["q17_sdt_table"] = W + replicate_draws() + f", sl AS ({sd_long}) SELECT param, round_even(median(value), 2) AS med, round_even(quantile_cont(value, 0.025), 2) AS lo, round_even(quantile_cont(value, 0.975), 2) AS up FROM sl GROUP BY 1"
     out["report_scalars"] = W + effect_table(v3, dependency_rows(v3), "mean") + f""" SELECT "group", dependency, effect, round_even(d_med, 2) AS d_med, round_even(d_lo, 2) AS d_lo, round_even(d_up, 2) AS d_up, {number_text("rope")} || '%' AS rope FROM effects WHERE effect = 'transfer'"""
 
     out["shifted_lognormal_cells"] = W + CLEAN + f""", sh AS (SELECT "group", min(rt) * {M.SHIFT_SHARE} AS ndt FROM clean GROUP BY 1) SELECT {ck}, count(*) AS n, round(any_value(ndt), 4) AS ndt, round(avg(ln(rt - ndt)), 4) AS mu, round(stddev_samp(ln(rt - ndt)), 4) AS sigma FROM clean JOIN sh USING ("group") GROUP BY ALL"""
@@ -623,7 +630,7 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["partial_pooling_stimulus"] = W + pooling("stim")
     for name, by in (("sdt_dprime", "dependency"), ("sdt_dprime_by_subject", "subj")):
         out[name] = W + sdt(by) + f" SELECT {by}, hits, signals, fas, noises, {r('z_hit')}, {r('z_fa')}, {r('z_hit - z_fa', 'dprime')}, {r('-z_fa', 'criterion')} FROM z"
-    out["sdt_fold_draws"] = W + fold_draws() + " SELECT draw, " + ", ".join(f'round("{c}", 4) AS "{c}"' for c in sd_cols) + " FROM sdraws"
+    out["sdt_replicates"] = W + replicate_draws() + " SELECT draw, " + ", ".join(f'round("{c}", 4) AS "{c}"' for c in sd_cols) + " FROM sdraws"
     out["rhat"] = W + params7() + f""", pc AS (SELECT "group", parameter, draw % {WH.CHAINS} AS chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM params GROUP BY ALL), pp AS (SELECT "group", parameter, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM pc GROUP BY ALL) SELECT "group", parameter, round(sqrt(((n - 1) / n * w + b) / w), 4) AS rhat FROM pp"""
     sm = W + simulated()
     out["predictive_bars"] = sm + """, ob AS (SELECT y, count(*) AS observed FROM obs GROUP BY 1), pr2 AS (SELECT rep, y_rep AS y, count(*) AS n FROM sim GROUP BY 1, 2), qs AS (SELECT y, quantile_cont(n, 0.5) AS a, quantile_cont(n, 0.05) AS b, quantile_cont(n, 0.95) AS c FROM pr2 GROUP BY 1) SELECT y, observed, round(a, 4) AS sim_mid, round(b, 4) AS sim_lo, round(c, 4) AS sim_hi FROM ob LEFT JOIN qs USING (y)"""

@@ -563,8 +563,7 @@ def q16_hit_rates(spark, sf):
 
 
 def sdt_draws(spark, sf):
-    folds = max(2, WH.table(spark, sf, "labels").count() // WH.JUDGEMENT_FOLD_ROWS)
-    return M.sdt_fold_draws(WH.judgements(spark, sf), folds)
+    return M.sdt_replicates(WH.judgements(spark, sf))
 
 
 @query
@@ -611,7 +610,7 @@ def sdt_dprime_by_subject(spark, sf):
 
 
 @query
-def sdt_fold_draws(spark, sf):
+def sdt_replicates(spark, sf):
     return sdt_draws(spark, sf)
 
 

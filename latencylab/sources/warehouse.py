@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latencylab.operators import contrasts
 from latencylab.operators.contrasts import COHORTS, Design
-from latencylab.operators.sizing import checkpoint_dir
+from latencylab.operators.sizing import broadcast_checked, checkpoint_dir
 
-DRAW_BUCKET_ROWS = 10_000  # order lines per bucket of draws
-JUDGEMENT_FOLD_ROWS = 10  # labelled documents per left-out fold
+DRAWS = 64  # draws the lines of a cell are dealt out to; the smallest cell of the smallest tables has 92 lines
+DRAW_SLICES = 64  # slices of a cell in which its lines are numbered
 LONG_TEXT = 1500  # characters from which a judge says yes
 CHAINS = 3
 
@@ -52,32 +52,34 @@ def trials(spark: SparkSession, sf_dir: str, stored_filter: str | None = None) -
     )
 
 
-def _build_cell_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per draw, one log-RT column per group x dependency x block cell.
+def _build_cell_draws(spark: SparkSession, sf_dir: str, draws: int = DRAWS, slices: int = DRAW_SLICES) -> DataFrame:
+    """One row per draw, one log-RT column per group x dependency x block cell; every cleaned line counts once.
 
-    Lines are spread over buckets of about ``DRAW_BUCKET_ROWS`` by a mix of their keys (no single hot key
-    can fill one); inside a bucket the k-th cleaned line of every cell forms draw k, and draws that lack a
-    cell are left out.  Numbering and pivot both follow the bucket, so one shuffle serves the two.
+    The lines of a cell are numbered and dealt out to ``draws`` draws in turn; a draw's value is the mean of its
+    lines.  Numbering runs inside slices of a cell, by a mix of the lines' keys that no single hot key can fill,
+    and is shifted by the sizes of the slices before, so no window holds a cell.  Both numbers are fixed, so the
+    draws that exist do not depend on the size of the table.  A cell with fewer lines than draws is an error.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    buckets = max(1, lines.count() // DRAW_BUCKET_ROWS)  # row count comes from parquet footers
     mix = "l_orderkey + 7 * l_partkey + 13 * l_suppkey + 31 * l_linenumber"
-    rows = (
-        lines.where(CLEAN_ON_STORED)
-        .selectExpr(
-            f"({mix}) % {buckets} as bucket",
-            f"concat_ws('_', {COHORT_OF_STATUS}, {DEPENDENCY_OF_FLAG}, l_linenumber) as cell",
-            "ln(l_extendedprice / 10) as value",
-            "struct(l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as o",
-        )
-        .repartition("bucket")
+    rows = table(spark, sf_dir, "lineitem").where(CLEAN_ON_STORED).selectExpr(
+        f"({mix}) % {slices} as slice",
+        f"concat_ws('_', {COHORT_OF_STATUS}, {DEPENDENCY_OF_FLAG}, l_linenumber) as cell",
+        "ln(l_extendedprice / 10) as value",
+        "struct(l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as o",
     )
-    k = "row_number() over (partition by bucket, cell order by o)"
-    numbered = rows.selectExpr("bucket", "cell", "value", f"{k} as k")
     cells = all_cells()
-    wide = numbered.groupBy("bucket", "k").pivot("cell", cells).agg(F.first("value")).dropna(subset=cells)
-    key = "bucket * 1000000L + k"
-    return wide.selectExpr(f"{key} as draw", f"cast(({key}) % {CHAINS} as int) as chain", *[f"`{c}`" for c in cells])
+    sizes = rows.groupBy("cell", "slice").agg(F.count("*").alias("n"))
+    before = "over (partition by cell order by slice rows between unbounded preceding and 1 preceding)"
+    sizes = broadcast_checked(sizes.selectExpr("cell", "slice", "n", f"coalesce(sum(n) {before}, 0L) as skip"))
+    least = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    if short := [c for c in cells if least.get(c, 0) < draws]:
+        raise ValueError(f"cells with fewer than {draws} lines: {', '.join(short)}")
+    k = "row_number() over (partition by cell, slice order by o)"
+    dealt = rows.selectExpr("cell", "slice", "value", f"{k} as k").join(sizes.drop("n"), ["cell", "slice"])
+    dealt = dealt.selectExpr("cell", "value", f"(skip + k - 1) % {draws} as draw")
+    means = dealt.groupBy("draw", "cell").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    wide = means.groupBy("draw").pivot("cell", cells).agg(F.first("value"))  # a row for each draw and cell
+    return wide.selectExpr("draw", f"cast(draw % {CHAINS} as int) as chain", *[f"`{c}`" for c in cells])
 
 
 def all_cells() -> list[str]:
