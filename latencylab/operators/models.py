@@ -200,6 +200,17 @@ def conditional_effects(params: DataFrame, d: C.Design) -> DataFrame:
     return summarise(rows, C.key_names(d), quantiles=q, groups=len(d.cells)).select(*C.key_names(d), *q)
 
 
+def sdt_conditional_effects(draws: DataFrame) -> DataFrame:
+    """Median and central 95 % interval of P(yes) per kind of item and truth, from signal-detection draws."""
+    kinds = {"adjacent": ("b_c_Intercept", "b_dprime_Intercept"),
+             "nonadjacent": ("b_c_Intercept + b_c_dependencynonadjacent", "b_dprime_Intercept + b_dprime_dependencynonadjacent")}
+    # the sign of the criterion's slope is that of its draw table: adjacent plus slope is the other kind
+    cells = [f"struct('{k}' as dependency, {d} as is_dep, ({dp}) * {d} - ({c}) as eta)" for k, (c, dp) in kinds.items() for d in (0, 1)]
+    rows = draws.selectExpr(f"inline(array({', '.join(cells)}))").withColumn("value", S.normal_cdf("eta"))
+    q = {"estimate": 0.5, "lower": 0.025, "upper": 0.975}
+    return summarise(rows, ["dependency", "is_dep"], quantiles=q, groups=4).select("dependency", "is_dep", *q)
+
+
 def bayes_factor(draws: DataFrame, by: list[str], value: str = "value", over_null: bool = True, groups: int | None = None) -> DataFrame:
     """Savage-Dickey ratio at 0 of a standard normal prior and the kernel density of the draws."""
     s = summarise(draws, by, value, height_at=0.0, groups=groups)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from latencylab.operators.sizing import broadcast_checked
 
@@ -15,15 +15,31 @@ def gather(df: DataFrame, ids: list[str], columns: list[str] | None = None, key:
     return df.unpivot(ids, columns, key, value)
 
 
+def unlisted(key: Column, levels: list) -> Column:
+    """Aggregate: rows of a group whose key is none of the levels, NULL included."""
+    return F.count_if(~F.coalesce(key.isin(*levels), F.lit(False)))
+
+
+def _one_value(key: Column, levels: list, level, value: Column) -> Column:
+    """Aggregate: the value of a level; unlisted keys and a second row of the level are errors."""
+    mine = key == F.lit(level)
+    wrong = F.when(unlisted(key, levels) > 0, F.raise_error(F.lit(f"keys besides {levels}")))
+    wrong = wrong.when(F.count_if(mine) > 1, F.raise_error(F.lit(f"several rows of {level} for one id")))
+    return wrong.otherwise(F.first(F.when(mine, value), ignorenulls=True))
+
+
 def spread(df: DataFrame, ids: list[str], key: str, levels: list, value: str = "value", prefix: str = "") -> DataFrame:
-    """Long to wide for known levels; pairs rows by ids, so draws line up."""
-    out = df.groupBy(*ids).pivot(key, levels).agg(F.first(value))
-    return out.withColumnsRenamed({str(lv): f"{prefix}{lv}" for lv in levels}) if prefix else out
+    """Long to wide for known levels; pairs rows by ids, so draws line up.
+
+    A level without a row is NULL; an unlisted or repeated key is an error, so no row is lost.
+    """
+    aggs = [_one_value(F.col(key), levels, lv, F.col(value)).alias(f"{prefix}{lv}") for lv in levels]
+    return df.groupBy(*ids).agg(*aggs)
 
 
 def spread_values(df: DataFrame, ids: list[str], key: str, levels: list, values: list[str]) -> DataFrame:
-    """Long to wide for several value columns at once: ``<value>_<level>``."""
-    aggs = [F.first(F.when(F.col(key) == lv, F.col(v)), ignorenulls=True).alias(f"{v}_{lv}") for v in values for lv in levels]
+    """Long to wide for several value columns at once: ``<value>_<level>``; errors as in ``spread``."""
+    aggs = [_one_value(F.col(key), levels, lv, F.col(v)).alias(f"{v}_{lv}") for v in values for lv in levels]
     return df.groupBy(*ids).agg(*aggs)
 
 
@@ -98,11 +114,18 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, on, "left")
 
 
-def subset_parameters(df: DataFrame, keep: list[str] | None = None, pattern: str | None = None, column: str = "parameter"):
-    """Rows of chosen parameters of a long draw table, by list or by pattern."""
+def subset_parameters(
+    df: DataFrame, keep: list[str] | None = None, pattern: str | None = None, column: str = "parameter",
+    drop: list[str] | None = None, drop_pattern: str | None = None,
+):
+    """Rows of chosen parameters of a long draw table, by list or by pattern, kept or dropped."""
     out = df
     if keep is not None:
         out = out.where(F.col(column).isin(*keep))
     if pattern is not None:
         out = out.where(F.col(column).rlike(pattern))
+    if drop is not None:
+        out = out.where(~F.col(column).isin(*drop))
+    if drop_pattern is not None:
+        out = out.where(~F.col(column).rlike(drop_pattern))
     return out

@@ -30,11 +30,17 @@ def few_groups(keys: DataFrame, groups: int | None, limit: int = BROADCAST_GROUP
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch one only if unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine that names none gets a scratch folder; on a cluster that is an error, since
+    executors on other machines could not read what is written there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="latencylab-checkpoint-"))
         current = sc.getCheckpointDir()
     return current

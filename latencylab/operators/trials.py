@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from latencylab.operators.distributions import summarise
+from latencylab.operators.reshape import join_lookup, unlisted
+from latencylab.operators.sizing import cut_lineage
 
 # Response-time bounds in ms, exclusive.
 RT_LOW, RT_HIGH = 100.0, 10_000.0
@@ -62,6 +64,11 @@ def dense_ids(df: DataFrame, columns: list[str], name: str, prefix: int) -> Data
     return ranked.join(offsets, "_bucket").selectExpr(*columns, f"_skip + _rank as `{name}`")
 
 
+def with_dense_ids(df: DataFrame, columns: list[str], name: str, prefix: int) -> DataFrame:
+    """The rows with the dense id of their key; the ids are joined by broadcast only if counted small."""
+    return join_lookup(df, dense_ids(df, columns, name, prefix), columns)
+
+
 def ordinal_within(
     df: DataFrame,
     by: list[str],
@@ -70,7 +77,7 @@ def ordinal_within(
     steps: dict[str, float] | None = None,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Running number per group in the order of numeric, non-null columns.
+    """Running number per group in the order of numeric columns, NULLs first; rows equal in all of them in any order.
 
     No window holds a whole group: values of the first order column are counted, the counts summed up in
     steps of that column, and rows numbered only among equals.  If more than ``limit`` rows share a value,
@@ -80,14 +87,15 @@ def ordinal_within(
     keys = ", ".join(f"`{b}`" for b in by)
     step = float((steps or {}).get(lead, 1.0))
     sizes = df.groupBy(*by, lead).agg(F.count("*").alias("_size"))
-    sizes = sizes.selectExpr("*", f"cast(floor(`{lead}` / {step!r}D) as bigint) as _step")
+    # used twice below; a row for each value
+    sizes = cut_lineage(sizes.selectExpr("*", f"cast(floor(`{lead}` / {step!r}D) as bigint) as _step"))
     before = "rows between unbounded preceding and 1 preceding"
     per_step = sizes.groupBy(*by, "_step").agg(F.sum("_size").alias("_step_size"))
     per_step = per_step.selectExpr(
         *by, "_step", f"coalesce(sum(_step_size) over (partition by {keys} order by _step {before}), 0L) as _skip"
     )
     inside = f"over (partition by {keys}, _step order by `{lead}` {before})"
-    skips = sizes.join(per_step, [*by, "_step"]).selectExpr(
+    skips = _join_null_safe(sizes, per_step, [*by, "_step"]).selectExpr(
         *by, lead, f"_skip + coalesce(sum(_size) {inside}, 0L) as _skip"
     )
     if rest and (sizes.agg(F.max("_size")).first()[0] or 0) > limit:
@@ -95,14 +103,23 @@ def ordinal_within(
     else:
         ties = ", ".join(f"`{c}`" for c in (rest or [lead]))
         ranked = df.selectExpr("*", f"row_number() over (partition by {keys}, `{lead}` order by {ties}) as _rank")
-    return ranked.join(skips, [*by, lead]).selectExpr(*df.columns, f"_skip + _rank as `{name}`")
+    return _join_null_safe(ranked, skips, [*by, lead]).selectExpr(*[f"`{c}`" for c in df.columns], f"_skip + _rank as `{name}`")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on columns of the same name where NULL equals NULL."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"`_right_{c}`"))
+    return left.join(right, same).drop(*[f"_right_{c}" for c in on])
 
 
 def z_score(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Centre and scale by the sample standard deviation of the whole table."""
+    """Centre and scale by the sample standard deviation of the whole table; NULL where that is 0 or unknown."""
     moments = df.agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_sd")).first()
     mean, sd = moments["_mean"], moments["_sd"]
-    return df.withColumn(name, (F.col(column) - F.lit(mean)) / F.lit(sd))
+    return df.withColumn(name, F.try_divide(F.col(column) - F.lit(mean).cast("double"), F.lit(sd).cast("double")))
 
 
 def hits(df: DataFrame) -> DataFrame:
@@ -140,8 +157,9 @@ def level_shares(df: DataFrame, by: str = "group", rt_range=(RT_LOW, RT_HIGH)) -
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, levels: list, names: list[str]) -> DataFrame:
-    """Counts with one column per given level; absent combinations count 0."""
-    aggs = [F.count(F.when(F.col(columns) == lv, 1)).alias(n) for lv, n in zip(levels, names)]
+    """Counts with one column per given level; absent combinations count 0, a row of another level is an error."""
+    wrong = F.when(unlisted(F.col(columns), levels) > 0, F.raise_error(F.lit(f"levels of {columns} besides {levels}")))
+    aggs = [wrong.otherwise(F.count_if(F.col(columns) == F.lit(lv))).alias(n) for lv, n in zip(levels, names)]
     return df.groupBy(rows).agg(*aggs)
 
 

@@ -456,14 +456,14 @@ ns AS (SELECT "group", dependency, effect, avg(v) AS m, quantile_cont(v, 0.025)
 def regression() -> str:
     d = C.design("seven_block")
     return CLEAN + ", " + weights(d) + f""",
-x AS (SELECT dependency, block, ln(rt) AS y, CAST(trial_in_block AS DOUBLE) AS t FROM clean WHERE "group" = 'adults'),
-cm AS (SELECT dependency, block, avg(y) AS my, avg(t) AS mt FROM x GROUP BY ALL),
-sl AS (SELECT sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope, avg(t) AS mean_t, stddev_samp(t) AS sd_t
-  FROM x JOIN cm USING (dependency, block)),
-adj AS (SELECT dependency, block, my - slope * (mt - mean_t) AS value FROM cm, sl)
-SELECT w.parameter AS term, round(sum(value * w), 4) AS estimate FROM adj JOIN weights w USING (dependency, block) GROUP BY 1
-UNION ALL SELECT 'b_Intercept', round(avg(value), 4) FROM adj
-UNION ALL SELECT 'b_scaletrial_in_block', round(slope * sd_t, 4) FROM sl"""
+x AS (SELECT "group", dependency, block, ln(rt) AS y, CAST(trial_in_block AS DOUBLE) AS t FROM clean),
+cm AS (SELECT "group", dependency, block, avg(y) AS my, avg(t) AS mt FROM x GROUP BY ALL),
+sl AS (SELECT "group", sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope, avg(t) AS mean_t, stddev_samp(t) AS sd_t
+  FROM x JOIN cm USING ("group", dependency, block) GROUP BY 1),
+adj AS (SELECT "group", dependency, block, my - slope * (mt - mean_t) AS value FROM cm JOIN sl USING ("group"))
+SELECT adj."group", w.parameter AS term, round(sum(value * w), 4) AS estimate FROM adj JOIN weights w USING (dependency, block) GROUP BY 1, 2
+UNION ALL SELECT "group", 'b_Intercept', round(avg(value), 4) FROM adj GROUP BY 1
+UNION ALL SELECT "group", 'b_scaletrial_in_block', round(slope * sd_t, 4) FROM sl"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -566,9 +566,10 @@ SELECT draw, "group", dependency, effect, {r("value")}, {r("phi")}, round({probi
     out["decode_by_join"] = W + CELLS + f""" SELECT draw, "group" || '_' || dependency || '_' || block AS cell, round(value, 4) AS value FROM cell WHERE block IN ({blocks})"""
     out["encode_group_v2"] = W + params_group(v2) + " SELECT draw, parameter, round(value, 4) AS value FROM params WHERE parameter LIKE 'b!_COND%' ESCAPE '!'"
     coding = seven.coding()
-    picks = [seven.parameters.index(p) for p in ("b_CONDDependency", "b_CONDAdjacency", "b_CONDBlock6M7")]
-    vals = ", ".join(f"('{dep}', {b}, {', '.join(f'{coding[i, j]:.12f}::DOUBLE' for j in picks)})" for i, (dep, b) in enumerate(seven.cells))
-    out["attach_coding"] = W + CLEAN + f", coding AS (SELECT * FROM (VALUES {vals}) t(dependency, block, dep, adj, block_6_7)) SELECT c.dependency || '_' || c.block AS cell, count(*) AS n, round(avg(dep), 4) AS dep, round(avg(adj), 4) AS adj, round(avg(block_6_7), 4) AS block_6_7 FROM clean c JOIN coding USING (dependency, block) GROUP BY 1"
+    vals = ", ".join(f"('{dep}', {b}, {', '.join(f'{w:.12f}::DOUBLE' for w in coding[i])})" for i, (dep, b) in enumerate(seven.cells))
+    names = ", ".join(f'"{p}"' for p in seven.parameters)
+    means = ", ".join(f'round(avg("{p}"), 4) AS "{p}"' for p in seven.parameters)
+    out["attach_coding"] = W + CLEAN + f", coding AS (SELECT * FROM (VALUES {vals}) t(dependency, block, {names})) SELECT c.dependency || '_' || c.block AS cell, count(*) AS n, {means} FROM clean c JOIN coding USING (dependency, block) GROUP BY 1"
     ms = "round(exp(i.value + p.value / {k}) - exp(i.value), 4) AS value"
     out["effect_ms_k4"] = W + params7() + f""" SELECT p.draw, p."group", p.parameter AS param, {ms.format(k=4)} FROM params p JOIN params i ON p.draw = i.draw AND p."group" = i."group" AND i.parameter = 'b_Intercept' WHERE p.parameter LIKE 'b!_COND%' ESCAPE '!'"""
     out["effect_ms_k8"] = W + params_group(v3) + f""" SELECT p.draw, p.parameter AS param, {ms.format(k=8)} FROM params p JOIN params i ON p.draw = i.draw AND i.parameter = 'b_Intercept' WHERE p.parameter LIKE 'b!_COND%' ESCAPE '!'"""
@@ -639,5 +640,17 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["predictive_error_hist"] = sm + " SELECT CAST(rep AS INTEGER) AS rep, y - y_rep AS error, count(*) AS n FROM sim GROUP BY 1, 2"
     out["predictive_scatter_avg"] = sm + ", u AS (SELECT item, any_value(y) AS y, avg(y_rep) AS p FROM sim GROUP BY 1) SELECT y, round(p, 4) AS prediction, count(*) AS n FROM u GROUP BY 1, 2"
     out["conditional_effects"] = W + CELLS + f" SELECT {ck}, round(median(exp(value)), 6) AS estimate, round(quantile_cont(exp(value), 0.025), 6) AS lower, round(quantile_cont(exp(value), 0.975), 6) AS upper FROM cell WHERE block IN (1, 6, 7) GROUP BY ALL"
+    for v, blocks in (("v1", "6, 7"), ("v2", "1, 2, 6, 7")):
+        out[f"conditional_effects_{v}"] = out["conditional_effects"].replace("block IN (1, 6, 7)", f"block IN ({blocks})")
+    etas = " UNION ALL ".join(f"SELECT '{k}' AS dependency, {d} AS is_dep, hit_{x} AS z FROM dr" if d else f"SELECT '{k}', {d}, fa_{x} FROM dr"
+                              for k, x in (("adjacent", "a"), ("nonadjacent", "n")) for d in (1, 0))
+    out["conditional_effects_sdt"] = W + replicate_draws() + f""", z AS ({etas}), e AS (SELECT dependency, is_dep, {normal_cdf("z")} AS value FROM z)
+SELECT dependency, is_dep, round(median(value), 6) AS estimate, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM e GROUP BY 1, 2"""
+    out["trials_by_dense_id"] = W + TRIALS + """, t AS (SELECT *, dense_rank() OVER (ORDER BY "group" || ' ' || subj) AS subj_id FROM trials)
+SELECT subj_id, "group", count(*) AS n, round(min(rt), 4) AS min_rt FROM t GROUP BY 1, 2"""
+    out["rename_by_position"] = W + params7() + """ SELECT draw AS k, "group" AS cohort, round(max(value) FILTER (parameter = 'b_Intercept'), 4) AS "Intercept",
+round(max(value) FILTER (parameter = 'b_CONDDependency'), 4) AS "Dependency", round(max(value) FILTER (parameter = 'b_CONDAdjacency'), 4) AS "Adjacency" FROM params GROUP BY 1, 2"""
+    out["draw_subset_negated"] = W + params7() + """ SELECT "group", parameter, count(*) AS n, round(avg(value), 4) AS mean FROM params
+WHERE parameter NOT IN ('b_Intercept', 'b_ndt_Intercept') AND NOT regexp_matches(parameter, 'Block') GROUP BY 1, 2"""
     out["draw_subset"] = W + params7() + """ SELECT "group", count(DISTINCT parameter) AS n_parameters, count(*) AS n, round(avg(value), 4) AS mean FROM params WHERE parameter IN ('b_Intercept', 'b_CONDDependency', 'b_CONDAdjacency') GROUP BY 1"""
     return out

@@ -22,7 +22,7 @@ V1, V2, V3 = (C.design(f"group_{v}") for v in ("v1", "v2", "v3"))
 
 
 # interpolated quantiles of values with three decimals have six, so rounding to four would cut at ties
-FINE_DIGITS = {"percentile_interval": 6, "conditional_effects": 6, "six_number": 6}
+FINE_DIGITS = {"percentile_interval": 6, "conditional_effects": 6, "conditional_effects_v1": 6, "conditional_effects_v2": 6, "conditional_effects_sdt": 6, "six_number": 6}
 
 
 def shown(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -108,6 +108,18 @@ def subject_dense_id(spark, sf):
     return TR.dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id", prefix=11)
 
 
+@query
+def trials_by_dense_id(spark, sf):
+    t = TR.with_dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id", prefix=11)
+    return t.groupBy("subj_id", "group").agg(F.count("*").alias("n"), F.expr("min(rt)").alias("min_rt"))
+
+
+@query
+def rename_by_position(spark, sf):
+    wide = WH.seven_block_draws(spark, sf).select("draw", "group", "b_Intercept", "b_CONDDependency", "b_CONDAdjacency")
+    return R.rename_in_order(wide, ["k", "cohort", "Intercept", "Dependency", "Adjacency"])
+
+
 @query
 def relabel_baseline(spark, sf):
     t = clean(spark, sf).withColumn("dependency", TR.relabel("dependency", P.BASELINE))
@@ -435,7 +447,7 @@ def encode_group_v2(spark, sf):
 def attach_coding(spark, sf):
     t = TR.cell_key(clean(spark, sf), ("dependency", "block"))
     x = C.attach_coding(t, SEVEN)
-    return x.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"avg(`{h}`) as `{a}`") for h, a in (("CONDDependency", "dep"), ("CONDAdjacency", "adj"), ("CONDBlock6M7", "block_6_7"))])
+    return x.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"avg(`{p[2:]}`) as `{p}`") for p in SEVEN.parameters])
 
 
 @query
@@ -585,8 +597,8 @@ def shifted_lognormal_cells(spark, sf):
 
 @query
 def contrast_regression(spark, sf):
-    t = TR.cell_key(clean(spark, sf).where(F.col("group") == "adults"), ("dependency", "block"))
-    return M.contrast_regression(t, SEVEN)
+    t = TR.cell_key(clean(spark, sf), ("dependency", "block"))
+    return R.stack_cohorts({g: M.contrast_regression(t.where(F.col("group") == g), SEVEN) for g in C.COHORTS})
 
 
 @query
@@ -640,6 +652,28 @@ def conditional_effects(spark, sf):
     return M.conditional_effects(WH.group_draws(spark, sf, V3), V3)
 
 
+@query
+def conditional_effects_v1(spark, sf):
+    return M.conditional_effects(WH.group_draws(spark, sf, V1), V1)
+
+
+@query
+def conditional_effects_v2(spark, sf):
+    return M.conditional_effects(WH.group_draws(spark, sf, V2), V2)
+
+
+@query
+def conditional_effects_sdt(spark, sf):
+    return M.sdt_conditional_effects(sdt_draws(spark, sf))
+
+
+@query
+def draw_subset_negated(spark, sf):
+    long = R.gather(params7(spark, sf).drop("chain"), ["draw", "group"])
+    kept = R.subset_parameters(long, drop=["b_Intercept", "b_ndt_Intercept"], drop_pattern="Block")
+    return kept.groupBy("group", "parameter").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
 @query
 def draw_subset(spark, sf):
     long = R.gather(params7(spark, sf).drop("chain"), ["draw", "group"])

@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from latencylab.operators.sizing import broadcast_checked, cut_lineage
 from latencylab.sources import schemas
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.schema(schema)
+    """The columns of a schema by name, typed; further columns of the file are ignored, missing ones are named.
+
+    All files of a CSV folder must have the same header: the names are read once and every file is checked.
+    """
     if fmt == "csv":
-        # The header names the columns; a file whose header disagrees must fail, not shift.
-        return reader.option("header", True).option("enforceSchema", False).option("nullValue", "NA").csv(path)
-    return reader.format(fmt).load(path)
+        reader = spark.read.option("header", True).option("nullValue", "NA")
+        header = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])
+        found = reader.schema(header).option("enforceSchema", False).csv(path)
+    else:
+        found = spark.read.format(fmt).load(path)
+    if missing := [f.name for f in schema.fields if f.name not in found.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(found.columns)}")
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def attach_key(df: DataFrame, name: str = "draw") -> DataFrame:
+    """Number the rows from 0 in the order of all their columns.
+
+    Rows are range-partitioned and numbered by place in the partition plus the sizes of those before, so only
+    the sizes are ordered as a whole.  Partitions are stored first, since the range borders are sampled.
+    """
+    ordered = df.repartitionByRange(*[F.col(f"`{c}`") for c in df.columns])
+    held = cut_lineage(ordered.withColumn("_part", F.spark_partition_id()))
+    before = "over (order by _part rows between unbounded preceding and 1 preceding)"
+    skips = held.groupBy("_part").count().selectExpr("_part", f"coalesce(sum(count) {before}, 0L) as _skip")
+    order = ", ".join(f"`{c}`" for c in df.columns)
+    numbered = held.selectExpr("*", f"row_number() over (partition by _part order by {order}) - 1 as _place")
+    numbered = numbered.join(broadcast_checked(skips), "_part")
+    return numbered.selectExpr(f"_skip + _place as `{name}`", *[f"`{c}`" for c in df.columns])
 
 
 def read_trials(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -23,8 +48,15 @@ def read_judgements(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return read_table(spark, path, schemas.JUDGEMENTS, fmt)
 
 
-def read_draws(spark: SparkSession, path: str, parameters: list[str], fmt: str = "csv") -> DataFrame:
-    return read_table(spark, path, schemas.wide_draws(parameters), fmt)
+def read_draws(spark: SparkSession, path: str, parameters: list[str], fmt: str = "csv", keyed: bool = True) -> DataFrame:
+    """Draws of some parameters; a file without a draw key (``keyed=False``) gets one by the order of its values."""
+    found = read_table(spark, path, schemas.wide_draws(parameters, keyed=keyed), fmt)
+    return found if keyed else attach_key(found)
+
+
+def read_derived(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
+    """One of the stored result tables named in ``schemas.DERIVED``."""
+    return read_table(spark, path, schemas.DERIVED[name], fmt)
 
 
 def tag_cohort(df: DataFrame, cohort: str) -> DataFrame:
