@@ -100,27 +100,35 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Depth and path score of each node, and per round the jumps of 2^k messages.
 
     ``nodes``: ``conv_id, node, parent, score``.  A parent that is not a node of the conversation counts as none.
-    A cycle has no root and raises.
+    A conversation whose messages have all reached their root leaves the rounds, so later ones touch only the
+    longer conversations.  A cycle has no root and raises.
     """
     known = nodes.select(F.col("conv_id").alias("p_conv"), F.col("node").alias("p_node"), F.col("score").alias("p_score"))
     jump = nodes.join(known, _same(["conv_id"], ["p_conv"]) & (F.col("parent") == F.col("p_node")), "left")
     # to: the message 2^k above, if the path is that long; depth and total: of the messages passed
     jump = jump.select("conv_id", "node", F.col("p_node").alias("to"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("total"))
-    jump, levels = stored(jump, "jumps-0"), []
+    jump, levels, left = stored(jump, "jumps-0"), [], []
     for k in range(MAX_DOUBLINGS):
-        if jump.where("to is not null").isEmpty():
-            return jump.select("conv_id", "node", "depth", "total"), levels
-        levels.append(jump.where("to is not null").select("conv_id", "node", "to"))
+        rising, there = jump.where("to is not null"), jump.where("to is null")
+        if rising.isEmpty():
+            depths = there
+            for done in left:
+                depths = depths.union(done)
+            return stored(depths.select("conv_id", "node", "depth", "total"), "depths"), levels
+        levels.append(rising.select("conv_id", "node", "to"))
+        live = stored(rising.select(F.col("conv_id").alias("l_conv")).distinct(), "live")
+        left.append(there.join(live, _same(["conv_id"], ["l_conv"]), "left_anti"))
         above = jump.select(
             F.col("conv_id").alias("a_conv"), F.col("node").alias("a_node"), F.col("to").alias("a_to"),
             F.col("depth").alias("a_depth"), F.col("total").alias("a_total"),
         )
-        step = jump.join(above, _same(["conv_id"], ["a_conv"]) & (F.col("to") == F.col("a_node")), "left")
-        jump = stored(step.select(
+        step = rising.join(above, _same(["conv_id"], ["a_conv"]) & (F.col("to") == F.col("a_node")), "left")
+        step = step.select(
             "conv_id", "node", F.col("a_to").alias("to"),
             (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
             (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"),
-        ), f"jumps-{k + 1}")
+        )
+        jump = stored(step.union(there.join(live, _same(["conv_id"], ["l_conv"]), "left_semi")), f"jumps-{k + 1}")
     raise ValueError("a reply tree has a cycle")
 
 
