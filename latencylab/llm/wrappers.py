@@ -354,9 +354,11 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, reference, template, slot`` for each host of ``id, host, html``, learnt from all its pages."""
     sized = pages.select("id", "host", F.length("html").alias("size")).where("size > 0")
-    median = sized.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("median"))
-    near = sized.join(median, "host").where("size <= median").groupBy("host").agg(F.max(F.struct("size", -F.col("id"))).alias("best"))
-    chosen = stored(near.select("host", F.col("best.size").alias("size"), (-F.col("best.col2")).alias("id")), "reference-ids")
+    median = stored(sized.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("median")), "median-sizes")
+    # maxima of salted parts first, so that the join of a hot host may be split
+    near = sized.join(median, "host").where("size <= median").groupBy("host", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    near = near.agg(F.max(F.struct("size", (-F.col("id")).alias("back"))).alias("best")).groupBy("host").agg(F.max("best").alias("best"))
+    chosen = stored(near.select("host", F.col("best.size").alias("size"), (-F.col("best.back")).alias("id")), "reference-ids")
     references = pages.join(chosen.withColumnsRenamed({"host": "r_host", "size": "r_size", "id": "r_id"}),
                             (F.col("host") == F.col("r_host")) & F.col("id").eqNullSafe(F.col("r_id")) & (F.length("html") == F.col("r_size")))
     references = stored(references.groupBy("host").agg(F.min("html").alias("reference")), "references")
