@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,9 @@ from latencylab.operators import contrasts as C
 SHAPES = {"seven_block": (21, 20), "group_v1": (12, 11), "group_v2": (24, 23), "group_v3": (18, 17)}
 
 
+HALVED = ("group_v2",)  # designs whose dependency weights are 1/2, 1/2, -1
+
+
 @pytest.mark.parametrize("name", SHAPES)
 def test_shape_sums_and_rank(name):
     w = C.design(name).weights()
@@ -16,6 +21,31 @@ def test_shape_sums_and_rank(name):
     assert np.allclose(w.T @ C.design(name).coding(), np.eye(SHAPES[name][1]))
 
 
+def weight_by_label(label, cell, half):
+    """A weight from the wording of a hypothesis alone."""
+    dependency, block = cell[-2:]
+    w = 1.0
+    if "Age" in label:
+        w *= 1 if cell[0] == "adults" else -1
+    if "Dep" in label:
+        w *= {"adjacent": 1, "nonadjacent": 1, "none": -2}[dependency] / (2 if half else 1)
+    if "Adj" in label:
+        w *= {"adjacent": -1, "nonadjacent": 1, "none": 0}[dependency]
+    if "Block" in label:
+        first, second = map(int, re.findall(r"\d", label) or (6, 7))
+        w *= 1 if block == first else -1 if block == second else 0
+    return w
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_weights_follow_the_wording(name):
+    d = C.design(name, balanced=True) if name == "seven_block" else C.design(name)
+    labels = [h.label for h in d.hypotheses]
+    half = name in HALVED
+    expected = [[weight_by_label(label, cell, half) for label in labels] for cell in d.cells]
+    assert np.array_equal(d.weights(), np.array(expected))
+
+
 def test_first_interaction_weights():
     kept, fixed = C.design("seven_block"), C.design("seven_block", balanced=True)
     j = [h.label for h in kept.hypotheses].index("Dependency * Block 1-2")

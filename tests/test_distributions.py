@@ -130,3 +130,21 @@ def test_large_groups_are_not_gathered(mixed):
     _, df = mixed
     plan = summarise(df, ["g"], intervals=[HPDI95], groups=8, array_rows=0)._jdf.queryExecution().toString()
     assert "sort_array" not in plan and "CartesianProduct" not in plan
+
+
+def test_slices_stay_even_around_nested_outliers(spark):
+    from latencylab.operators.distributions import _sliced
+
+    values = [*np.random.default_rng(2).normal(0, 1, 20_000), 1e6, 1e12]
+    distinct = spark.createDataFrame([("g", 0, float(v), 1) for v in values], "_g string, _bin int, _v double, m int")
+    sizes = [r["count"] for r in _sliced(distinct, 20).groupBy("_slice").count().collect()]
+    assert sum(sizes) == len(values) and max(sizes) <= 2 * len(values) / 20
+    df = spark.createDataFrame([(float(v),) for v in values], "value double")
+    r = summarise(df, [], quantiles={"med": 0.5}, intervals=[HPDI95], array_rows=0, slice_rows=100).first()
+    assert r.med == pytest.approx(np.median(values)) and (r.lo_95, r.hi_95) == brute(np.array(values), 0.95)
+
+
+def test_more_groups_than_promised(spark):
+    df = spark.range(6000).selectExpr("id % 600 as g", "cast(id as double) as value")
+    got = {r.g: r.med for r in summarise(df, ["g"], quantiles={"med": 0.5}, groups=4).collect()}
+    assert len(got) == 600 and got[3] == 3 + 600 * 4.5

@@ -1,6 +1,8 @@
 from statistics import NormalDist
 
 import numpy as np
+from statistics import NormalDist
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,32 @@ def test_nested_effect_text(spark):
     assert plain.startswith("(coef = 5.5, 95% CrI[1.2") and plain.endswith("], P(beta<0) < .001)")
     text = M.nested_effect(df, ["g"], point=3.5, groups=1).first().text
     assert text.startswith(r"($\hat{\mu}$ = 5.5, 95\% CrI[") and text.endswith(r"P($\beta<3.5$) = 0.3)")
+
+
+def test_replicates_have_the_analytic_spread(spark):
+    counts = {("en", "k", "k"): 123, ("en", "k", "d"): 100, ("en", "d", "k"): 16, ("en", "d", "d"): 23,
+              ("de", "k", "k"): 60, ("de", "k", "d"): 30, ("de", "d", "k"): 40, ("de", "d", "d"): 70}
+    rows = [(*cell, i) for cell, n in counts.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "dependency string, expected string, given string, item int")
+    draws = [r["b_dprime_Intercept"] for r in M.sdt_replicates(df).collect()]
+    assert len(draws) == M.SDT_REPLICATES
+    normal = NormalDist()
+
+    def z_and_variance(x, n):
+        p = (x + 0.5) / (n + 1)
+        z = normal.inv_cdf(p)
+        return z, p * (1 - p) / n / normal.pdf(z) ** 2
+
+    (zh, vh), (zf, vf) = z_and_variance(123, 223), z_and_variance(16, 39)
+    width = 2 * 1.96 * (vh + vf) ** 0.5
+    lo, up = sorted(draws)[9], sorted(draws)[-10]
+    assert abs((up - lo) / width - 1) < 0.2 and abs(sum(draws) / len(draws) - (zh - zf)) < width / 10
+
+
+def test_pooling_of_one_unit_or_single_rows_is_unknown(spark):
+    one = spark.createDataFrame([("a", 500.0), ("a", 700.0)], "u string, rt double")
+    singles = spark.createDataFrame([("a", 500.0), ("b", 700.0)], "u string, rt double")
+    for df in (one, singles):
+        assert all(r["weight"] is None and r["pooled"] is None for r in M.partial_pooling(df, "u").collect())
+    flat = spark.createDataFrame([(u, 500.0) for u in "aabb"], "u string, rt double")
+    assert {r["weight"] for r in M.partial_pooling(flat, "u").collect()} == {0.0}

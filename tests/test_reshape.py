@@ -76,3 +76,19 @@ def test_subset_parameters(wide):
     long = R.gather(wide, ["draw", "g"])
     assert R.subset_parameters(long, keep=["a"]).count() == 2
     assert R.subset_parameters(long, pattern="^[ab]$").count() == 4
+
+
+def test_unlisted_and_repeated_keys_are_errors(spark):
+    df = spark.createDataFrame([(1, "p", 1.0), (1, "zz", 2.0), (2, "p", 3.0)], "draw long, k string, value double")
+    with pytest.raises(PySparkException, match="keys besides"):
+        R.spread(df, ["draw"], "k", ["p"]).collect()
+    with pytest.raises(PySparkException, match="several rows of p"):
+        R.spread(df.withColumn("draw", df.draw * 0), ["draw"], "k", ["p", "zz"]).collect()
+    with pytest.raises(PySparkException, match="keys besides"):
+        R.spread_values(df, ["draw"], "k", ["p"], ["value"]).collect()
+    assert R.spread(df, ["draw"], "k", ["p", "zz"]).orderBy("draw").collect()[1].zz is None
+
+
+def test_subsets_by_negation(spark):
+    df = spark.createDataFrame([("b_A", 1), ("b_B", 2), ("c_Block", 3)], "parameter string, n int")
+    assert [r.n for r in R.subset_parameters(df, drop=["b_A"], drop_pattern="Block").collect()] == [2]

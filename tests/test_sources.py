@@ -27,15 +27,60 @@ def test_partitioned_parquet_and_judgements(spark, tmp_path):
     assert files.read_judgements(spark, str(tmp_path / "j" / "group=adults"), "parquet").count() == 1
 
 
-def test_draw_table_is_complete_and_keyed(spark, sf_dir):
+def test_every_cleaned_line_counts_in_a_draw(spark, sf_dir):
     from latencylab.sources import warehouse as WH
 
     d = WH.cell_draws(spark, sf_dir)
-    assert d.select("draw").distinct().count() == d.count() > 0
-    assert d.dropna().count() == d.count()
-    assert len(d.columns) == 44
-    plan = WH._build_cell_draws(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1, "numbering and pivot share one shuffle"
+    assert d.select("draw").distinct().count() == d.count() == WH.DRAWS
+    assert d.dropna().count() == d.count() and len(d.columns) == 44
+    lines = WH.table(spark, sf_dir, "lineitem").where(WH.CLEAN_ON_STORED)
+    cells = lines.selectExpr(
+        f"concat_ws('_', {WH.COHORT_OF_STATUS}, {WH.DEPENDENCY_OF_FLAG}, l_linenumber) as cell", "ln(l_extendedprice / 10) as value"
+    ).groupBy("cell").agg({"value": "sum", "*": "count"}).collect()
+    wide = [r.asDict() for r in d.orderBy("draw").collect()]
+    for r in cells:
+        n = r["count(1)"]
+        # lines are dealt out in turn, so the first n % DRAWS draws have one line more
+        sizes = [n // WH.DRAWS + (k < n % WH.DRAWS) for k in range(WH.DRAWS)]
+        assert sum(sizes) == n
+        assert sum(w[r["cell"]] * m for w, m in zip(wide, sizes)) == pytest.approx(r["sum(value)"], rel=1e-9)
+
+
+def test_a_cell_with_too_few_lines_is_an_error(spark, sf_dir):
+    from latencylab.sources import warehouse as WH
+
+    with pytest.raises(ValueError, match="fewer than 100000 lines"):
+        WH._build_cell_draws(spark, sf_dir, draws=100_000)
+
+
+def test_files_with_further_columns_and_no_key(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("prior_b_x,b_B,b_Intercept,sd_y\n9,2.5,1.5,9\n9,0.5,1.0,9\n9,7.0,1.0,9\n")
+    got = files.read_draws(spark, str(tmp_path / "d.csv"), ["b_Intercept", "b_B"], keyed=False)
+    assert got.columns == ["draw", "b_Intercept", "b_B"]
+    assert sorted(map(tuple, got.collect())) == [(0, 1.0, 0.5), (1, 1.0, 7.0), (2, 1.5, 2.5)]
+    (tmp_path / "t.csv").write_text("age,rt,acc,block,subj,stim,dependency,dependency2,trial_in_block\n30,512.5,1,7,s,x,none,NA,3\n")
+    row = files.read_trials(spark, str(tmp_path / "t.csv")).first()
+    assert row.rt == 512.5 and row.block == 7 and row.dependency2 is None
+    for name, schema in schemas.DERIVED.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(["extra", *schema.names]) + "\n")
+        assert files.read_derived(spark, str(tmp_path / f"{name}.csv"), name).schema == schema
+
+
+def test_keys_of_a_large_keyless_file(spark):
+    df = spark.range(5000).selectExpr("cast(id * 7919 % 5000 as double) as a", "1D as b").repartition(7)
+    got = files.attach_key(df)
+    assert got.where("draw != a").count() == 0 and got.count() == 5000
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from latencylab.operators.sizing import checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
 
 
 def test_clean_on_stored_columns_is_the_same_filter(spark, sf_dir):

@@ -93,10 +93,31 @@ def test_accuracy_and_shares(few):
 
 
 def test_crosstab_counts_absent_levels_as_zero(few):
-    got = {r.dependency: tuple(r)[1:] for r in T.crosstab(few, "dependency", "block", [1, 6], ["b1", "b6"]).collect()}
-    assert got == {"adjacent": (2, 0), "both": (0, 0), "none": (0, 1), "nonadjacent": (0, 2)}
+    got = {r.dependency: tuple(r)[1:] for r in T.crosstab(few, "dependency", "block", [1, 2, 6, 7], ["b1", "b2", "b6", "b7"]).collect()}
+    assert got == {"adjacent": (2, 0, 0, 0), "both": (0, 1, 0, 0), "none": (0, 0, 1, 2), "nonadjacent": (0, 0, 2, 0)}
 
 
 def test_six_numbers(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(1, 6)], "g string, v double")
     assert tuple(T.six_numbers(df, ["g"], "v", 1).first()) == ("a", 1.0, 2.0, 3.0, 3.0, 4.0, 5.0)
+
+
+def test_crosstab_refuses_unlisted_levels(few):
+    with pytest.raises(Exception, match="levels of block besides"):
+        T.crosstab(few, "dependency", "block", [1], ["b1"]).collect()
+
+
+def test_ordinals_keep_rows_without_an_order_value(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 2.0, 2), ("a", 1.0, 3), (None, 5.0, 4), (None, None, 5)], "g string, x double, n int")
+    got = {r.n: r.ordinal for r in T.ordinal_within(df, ["g"], ["x"]).collect()}
+    assert got == {1: 1, 3: 2, 2: 3, 5: 1, 4: 2}
+
+
+def test_z_score_of_a_constant_is_unknown(spark):
+    df = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    assert [r.z for r in T.z_score(df, "x", "z").collect()] == [None, None]
+
+
+def test_rows_carry_their_dense_id(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "k string, n int")
+    assert {r.n: r.i for r in T.with_dense_ids(df, ["k"], "i", 1).collect()} == {1: 2, 2: 1, 3: 2}
