@@ -20,9 +20,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from latencylab.llm.shared import only, per_batch
+from latencylab.llm.shared import held, only, per_batch
 
-CACHE_ENTRIES = 300_000  # per generation; each cache holds two generations at most
+CACHE_ENTRIES = 150_000  # per generation; each cache holds two generations at most
 # A space with white space (or a text's end) on both sides: the only case where cutting before each space
 # could cut inside a pre-token.
 AWKWARD_SPACE = re.compile(r"(?:^|\s) (?:\s|$)")
@@ -170,17 +170,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
-def codec(tokens: list[bytes], pattern: str, key: tuple) -> Codec:
-    """One codec per worker and vocabulary."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokens, pattern)
-    return _CODECS[key]
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
     """Encode each text and decode it again: ``id, ids (binary), n_tokens, decoded (binary)``.
 
@@ -194,7 +183,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col="doc
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(rows):
-        c = codec(shipped.value, pattern, key)
+        c = held(("byte-bpe", *key), lambda: Codec(shipped.value, pattern))
         ids = [c.encode(t) if t else b"" for t in rows["text"]]
         return {"id": rows["id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [c.decode(x) for x in ids]}
 

@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from latencylab.llm.shared import SLICE_ROWS, arrow_schema, map_arrow, only, stored
+from latencylab.llm.shared import SLICE_ROWS, arrow_schema, held, map_arrow, only, stored
 
 WINDOW = 8
 COVERAGE = 0.5  # share of an item's tokens that must be found
 LITERALS = 5  # tokens of a template window that are not placeholders
 SHORTEST_ITEM = 5  # tokens; shorter items are no evidence and match nothing
 FILTER_BITS = 26  # the Bloom filter has two to this power bits: 8 MB
-VOCABULARY = 500_000  # tokens a worker remembers
+VOCABULARY = 250_000  # tokens a worker remembers
 
 # Units of measure that may follow a number.
 UNITS = """
@@ -50,7 +51,11 @@ class Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes, self.kinds, self.capital = [], [], []
+        self.reset()
+
+    def reset(self):
+        self.clear()
+        self.hashes, self.kinds, self.capital = array("Q"), array("b"), array("b")
 
     def __missing__(self, token):
         lower = token.lower()
@@ -61,20 +66,20 @@ class Vocabulary(dict):
         return len(self) - 1
 
     def arrays(self):
-        return np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8), np.array(self.capital, bool)
+        return np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8), np.array(self.capital, bool)  # copies
 
 
 _UNITS = frozenset(UNITS)
-_WORDS = [Vocabulary()]
 
 
 def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
     """For each text: its tokens, their hashes, and the kind of each (0 literal, or a placeholder's number)."""
-    if len(_WORDS[0]) > VOCABULARY:
-        _WORDS[0] = Vocabulary()
+    words = held(("template-words",), Vocabulary)
+    if len(words) > VOCABULARY:
+        words.reset()
     found = [TOKEN.findall(t) for t in texts]
-    numbered = [np.fromiter(map(_WORDS[0].__getitem__, tokens), np.int64, len(tokens)) for tokens in found]
-    hashes, kinds, capital = _WORDS[0].arrays()
+    numbered = [np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)) for tokens in found]
+    hashes, kinds, capital = words.arrays()
     out = []
     for tokens, ids in zip(found, numbered):
         kind = kinds[ids]
@@ -84,8 +89,8 @@ def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]
         slot = np.where(kind == NUMBER, NUMBER, 0)
         slot[(kind == UNIT) & behind_number] = UNIT
         slot[capital[ids] & ~first & (kind != NUMBER)] = NAME
-        words = ~stop
-        out.append(([t for t, w in zip(tokens, words) if w] if stop.any() else tokens, hashes[ids][words], slot[words]))
+        kept = ~stop
+        out.append(([t for t, k in zip(tokens, kept) if k] if stop.any() else tokens, hashes[ids][kept], slot[kept]))
     return out
 
 

@@ -16,6 +16,7 @@ space-delimited chunks it has seen, up to ``CHUNKS``, and scores new ones in bul
 
 from __future__ import annotations
 
+import hashlib
 import io
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from latencylab.llm.shared import SLICE_ROWS, arrow_schema, map_arrow, only, per_batch, ship_package, stored
+from latencylab.llm.shared import SLICE_ROWS, arrow_schema, held, map_arrow, only, per_batch, ship_package, stored
 
 ORDER = 5
 TRAIN_DOCS = 1_000  # labelled rows per language
@@ -34,7 +35,7 @@ REJECT_MARGIN = 1.5  # times the widest deviation seen in calibration
 UNSEEN_SHARE = 0.9  # of the entropy of unknown symbols; a text that reaches it is as good as unknown
 SALTS = 64  # groups in which a language's rows are ranked first
 SETTLED = 400  # symbols beyond which a text's entropy is not expected to come closer to the mean
-CHUNKS = 400_000
+CHUNKS = 200_000
 LONGEST = 200  # characters of a chunk without white space; longer ones are cut
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
@@ -227,15 +228,10 @@ class Identifier:
 
     def __init__(self, languages: list[str], packed: list[bytes], sharpness: float = 1.0, bounds: list[tuple[float, float, float]] | None = None):
         self.languages, self.packed, self.sharpness, self.bounds = languages, packed, sharpness, bounds
-        self._scorer = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_scorer": None}
+        self.key = hashlib.sha256(b"".join(packed)).hexdigest()
 
     def scorer(self) -> Scorer:
-        if self._scorer is None:
-            self._scorer = Scorer([unpack(m) for m in self.packed])
-        return self._scorer
+        return held(("languages", self.key), lambda: Scorer([unpack(m) for m in self.packed]))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol under each model (infinite without a letter), and the number of symbols."""

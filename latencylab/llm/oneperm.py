@@ -16,7 +16,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from latencylab.llm.shared import SLICE_ROWS, arrow_schema, map_arrow, only, per_batch, stored
+from latencylab.llm.shared import SLICE_ROWS, arrow_schema, held, map_arrow, only, per_batch, stored
 
 SHINGLE_WORDS = 5
 BIN_BITS = 8
@@ -45,15 +45,13 @@ class _Words(dict):
         return value
 
 
-_WORD_HASHES = _Words()
-
-
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of the shingles of lower-cased, space-delimited words; a shorter text is one shingle."""
-    if len(_WORD_HASHES) > WORDS:
-        _WORD_HASHES.clear()
+    known = held(("word-hashes",), _Words)
+    if len(known) > WORDS:
+        known.clear()
     tokens = text.lower().split()
-    h = np.fromiter(map(_WORD_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     size = min(words, len(h))
     if not size:
         return h

@@ -62,6 +62,21 @@ def open_store(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """What an operator keeps in a Python worker between tasks, such as a tokenizer and its memo.
+
+    Workers outlive tasks and stages; only what was asked for last is kept, so the memos of several operators
+    never add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def per_batch(
     df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], rows: int = SLICE_ROWS
 ) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from latencylab.llm.shared import SLICE_ROWS, arrow_schema, fresh_path, map_arrow, only, open_store, stored
+from latencylab.llm.shared import SLICE_ROWS, arrow_schema, fresh_path, held, map_arrow, only, open_store, stored
 
 MAGIC = b"EFIDS001"
 SELECT_EVERY = 256
@@ -215,16 +215,6 @@ class WordEncoder:
         return [(self._coded(next(whole)) if cs is None else b"".join(map(get, cs))) + self.tail for cs in chunks]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def _encoder(spec: str, key: tuple) -> WordEncoder:
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec, key[1])
-    return _ENCODERS[key]
-
-
 MANIFEST = "part int, shard int, path string, docs bigint, ids bigint"
 
 
@@ -249,7 +239,7 @@ def write_files(
     out = arrow_schema(MANIFEST)
 
     def run(batches):
-        encoder, task = _encoder(shipped.value, key), TaskContext.get()
+        encoder, task = held(("words", *key), lambda: WordEncoder(shipped.value, end_id)), TaskContext.get()
         part, shard, ids, names, size = task.partitionId(), 0, [], [], 0
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
