@@ -29,7 +29,8 @@ from latencylab.llm.shared import SLICE_ROWS, arrow_schema, fresh_path, held, ma
 MAGIC = b"EFIDS001"
 SELECT_EVERY = 256
 SHARD_IDS = 1 << 23  # a shard is closed once it has this many ids
-CHUNKS = 400_000  # space-delimited chunks whose ids a worker remembers
+CHUNKS = 400_000  # space-delimited chunks of a generation of a worker's memo; it holds two at most
+LEARN_AT_ONCE = 1024  # chunks encoded together
 READ_IDS = 1 << 20  # ids read at once
 # Python takes these four separators for white space, the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -157,6 +158,13 @@ class Shard:
         self.file.close()
 
 
+def _pieces(chunk: str) -> int:
+    """Number of words the tokenizer cuts a chunk into."""
+    if chunk.isascii() and (chunk.isalpha() or chunk[:-1].isalpha()):
+        return 1 if chunk.isalpha() else 2
+    return len(PIECE.findall(unicodedata.normalize("NFC", chunk).lower()))
+
+
 class WordEncoder:
     """Ids of whole texts by the ``tokenizers`` library, encoding each space-delimited chunk once.
 
@@ -178,6 +186,7 @@ class WordEncoder:
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.tail = b"" if end_id is None else end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _coded(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
@@ -186,12 +195,13 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if max(c) < PLAIN_BELOW]
-        other = [c for c in chunks if max(c) >= PLAIN_BELOW]
+        plain, other = [], []
+        for c in chunks:
+            (plain if c.isascii() or max(c) < PLAIN_BELOW else other).append(c)
         if plain:
             ids = np.array(self._batch([" ".join(plain)])[0], np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            pieces = np.cumsum([len(PIECE.findall(unicodedata.normalize("NFC", c).lower())) for c in plain])
+            pieces = np.cumsum([_pieces(c) for c in plain])
             if len(ends) and pieces[-1] == len(ends) and ends[-1] == len(ids):
                 cuts = np.concatenate(([0], ends))[np.concatenate(([0], pieces))].tolist()
                 data = self._coded(ids)
@@ -203,13 +213,16 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CHUNKS:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         chunks = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {c for cs in chunks if cs for c in cs if c not in self.known}
-        if new:
-            order = sorted(new)
-            for at in range(0, len(order), 1024):
-                self._learn(order[at:at + 1024])
+        unseen = []
+        for c in set().union(*filter(None, chunks)).difference(self.known):
+            if (ids := self.old.get(c)) is None:
+                unseen.append(c)
+            else:
+                self.known[c] = ids
+        for at in range(0, len(unseen), LEARN_AT_ONCE):
+            self._learn(unseen[at:at + LEARN_AT_ONCE])
         get = self.known.__getitem__
         whole = iter(self._batch([t for t, cs in zip(texts, chunks) if cs is None]))
         return [(self._coded(next(whole)) if cs is None else b"".join(map(get, cs))) + self.tail for cs in chunks]

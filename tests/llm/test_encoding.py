@@ -116,3 +116,17 @@ def test_shard_select_reads_one_document(spark):
         whole = list(shard.documents())
         assert all(shard.document(i).tolist() == ids.tolist() for i, (_, _, ids) in enumerate(whole))
         shard.close()
+
+
+def test_word_encoder_with_small_memos(monkeypatch):
+    """Chunks leave and re-enter both generations of the memo; ids stay those of the tokenizer."""
+    with open(WORDS, encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(token_files, "CHUNKS", 3)
+    monkeypatch.setattr(token_files, "LEARN_AT_ONCE", 2)
+    encoder, plain = token_files.WordEncoder(spec, 2), Tokenizer.from_str(spec)
+    plain.encode_special_tokens = True
+    texts = ["a b. a7 don't it' 7 7a x", "", "\u0130stanbul \u0130 \u00aa1 na\u00efve e\u0301t\u00e9 \u4e2d\u6587 \u00b2", "a b. c\x1cd", "ONE... two!! 'tis a"]
+    for batch in (texts, texts[::-1], texts[:2]):
+        got = [np.frombuffer(b, "<u2").tolist() for b in encoder(batch)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids + [2] for t in batch]
