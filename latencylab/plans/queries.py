@@ -478,10 +478,14 @@ def condition_differences(spark, sf):
 
 @query
 def averaged_conditions(spark, sf):
-    rows = C.decode_long(WH.group_draws(spark, sf, V3), V3)
-    kind = F.when(F.col("dependency") == "none", F.lit("none")).otherwise(F.lit("dependency"))
-    mean = rows.withColumn("dependency", kind).groupBy("draw", "group", "dependency", "block").agg(F.avg("value").alias("value"))
-    return mean.withColumn("value", F.exp("value"))
+    cells = C.decode_wide(WH.group_draws(spark, sf, V3), V3)
+    kinds = {"dependency": ("adjacent", "nonadjacent"), "none": ("none",)}
+    rows = [
+        (g, name, b, E.Difference.mean(tuple(f"{g}_{k}_{b}" for k in members)))
+        for g in C.COHORTS for name, members in kinds.items() for b in V3.blocks
+    ]
+    entries = [f"struct('{g}' as `group`, '{n}' as dependency, {b} as block, exp({mean}) as value)" for g, n, b, mean in rows]
+    return cells.selectExpr("draw", f"inline(array({', '.join(entries)}))")
 
 
 def _sizes(sigma):
@@ -676,6 +680,7 @@ def draw_subset_negated(spark, sf):
 
 @query
 def draw_subset(spark, sf):
-    long = R.gather(params7(spark, sf).drop("chain"), ["draw", "group"])
-    kept = R.subset_parameters(long, keep=["b_Intercept", "b_CONDDependency", "b_CONDAdjacency"])
+    wanted = ["b_Intercept", "b_CONDDependency", "b_CONDAdjacency"]
+    long = R.gather(params7(spark, sf), ["draw", "group"], wanted)  # the scan reads these columns alone
+    kept = R.subset_parameters(long, keep=wanted)
     return kept.groupBy("group").agg(F.countDistinct("parameter").alias("n_parameters"), F.count("*").alias("n"), F.avg("value").alias("mean"))
