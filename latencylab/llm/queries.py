@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, decontaminate, langid, oneperm, reply_trees, simhash, token_files, unit_dedup, warc, wrappers
+from latencylab.llm import byte_bpe, decontaminate, langid, merkle, oneperm, oracles, prefix_trie, reply_trees, simhash, token_files, unit_dedup, warc, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,22 @@ from e group by conv_id
 @query
 def op5_wrappers(spark, sf_dir):
     return wrappers.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
+ORACLES["op12_prefix_trie"] = oracles.TRIE
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    tampers = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    tampered = {"text": merkle.lower_cased("text", tampers)}
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered=tampered).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op13_merkle"] = oracles.MERKLE
