@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.llm import byte_bpe, decontaminate, langid, merkle, oneperm, oracles, prefix_trie, reply_trees, simhash, token_files, unit_dedup, warc, wrappers
+from latencylab.llm import byte_bpe, decontaminate, langid, merkle, oneperm, oracles, prefix_trie, reply_trees, simhash, token_files, toxicity, unit_dedup, warc, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,12 @@ def op13_merkle(spark, sf_dir):
 
 
 ORACLES["op13_merkle"] = oracles.MERKLE
+
+
+@query
+def op11_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scorer = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.score(docs, scorer).withColumnRenamed("id", "doc_id")
+    return found.withColumn("held_out", held_out)
