@@ -30,9 +30,9 @@ TRAIN_DOCS = 4_000  # labelled rows to learn from in each class, in expectation
 FEATURES = 400
 BEGINNINGS = (4, 5, 6, 7, 8)  # letters of a word's beginning that is a feature
 RIDGE = 0.3
-MEMO = 400_000  # chunks whose words a worker keeps
+MEMO = 150_000  # chunks and costs that a worker keeps, each; half as many decoded regions
 LONGEST_KEPT = 64  # characters of a chunk that is kept
-FLUSH = 200_000  # distinct chunks counted before their n-grams are handed on
+FLUSH = 100_000  # distinct chunks counted before their n-grams are handed on
 # Letters that a digit or symbol can stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -48,6 +48,9 @@ SHIFT = 10
 AROUND = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in READINGS) + "…«»“”„‘’–—"
 REGION = re.compile(r"([^\W\d_])\1+|[\W\d_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+MARK, SIGN = f"[{re.escape(AROUND)}]?", f"[\\w{re.escape(''.join(READINGS))}]"
+SPACED = re.compile(rf"(?<!\S){MARK}{SIGN}{MARK}(?:\s+{MARK}{SIGN}{MARK}(?!\S)){{2,}}")
+SINGLE = re.compile(SIGN)
 
 
 # --- source: character model --------------------------------------------------------------------
@@ -114,7 +117,7 @@ class CharModel:
         key = context + symbol
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > MEMO:
                 self.known.clear()
             code = 0
             for c in key:
@@ -145,6 +148,14 @@ def decode(model: CharModel, context: str, typed: str, right: str, ends: bool) -
     of the chunk if it ``ends`` there).
     """
     cost = model.cost
+    if len(typed) == 2 and typed[0] == typed[1] and typed[0].isalpha():  # two readings
+        once = (context + typed[0])[-3:]
+        twice, spare = cost(once, typed[0]), DOUBLED
+        one, two = once, (once + typed[0])[-3:]
+        for ch in right + END * ends:
+            spare, twice = spare + cost(one, ch), twice + cost(two, ch)
+            one, two = (one + ch)[-3:], (two + ch)[-3:]
+        return typed[0] if spare < twice else typed
     paths = {context: (0.0, None)}
     lengths, before = runs(typed), ""
     for ch, length in zip(typed, lengths):
@@ -198,7 +209,7 @@ class Restorer:
         if found is None:
             found = decode(self.model, *key)
             if len(typed) <= LONGEST_KEPT:
-                if len(self.regions) > MEMO:
+                if len(self.regions) > MEMO // 2:
                     self.regions.clear()
                 self.regions[key] = found
         return found
@@ -227,10 +238,9 @@ class Restorer:
         return self.region(OPEN, " ".join(letters), "", True).split()
 
 
-def spaced_runs(chunks: list[str]) -> list[list[str]]:
-    """Stretches of three or more chunks that are single characters, apart from punctuation around them."""
-    bare = [c.strip(AROUND) if len(c) > 1 else c for c in chunks]
-    return [r for one, g in itertools.groupby(bare, lambda c: len(c) == 1) if one and len(r := list(g)) > 2]
+def spaced_runs(text: str) -> list[list[str]]:
+    """Stretches of three or more chunks that are single letters or signs, with at most a mark on either side."""
+    return [SINGLE.findall(m[0]) for m in SPACED.finditer(text)]
 
 
 # --- score --------------------------------------------------------------------------------------
@@ -239,52 +249,64 @@ def word_features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n]]
 
 
+PLAIN, NO_WORD = (1, ()), (0, ())  # a chunk that is one word without features, or none
+
+
 class Reader:
     """Counts of restored words and of the features among them, for whole texts."""
 
-    def __init__(self, model: CharModel, features: list[str] | None):
+    def __init__(self, model: CharModel, features: list[str]):
         self.restorer, self.memo = Restorer(model), {}
-        self.index = None if features is None else {f: i for i, f in enumerate(features)}
-        self.heads = None if features is None else {f.rstrip("*")[:BEGINNINGS[0]] for f in features}
+        self.index = {f: i for i, f in enumerate(features)}
+        self.heads = {f.rstrip("*")[:BEGINNINGS[0]] for f in features}
 
     def _features(self, words: list[str]) -> tuple[int, tuple]:
-        if self.index is None:
-            return len(words), tuple(f for w in words for f in word_features(w))
         found = []
         for w in words:
             if w[:BEGINNINGS[0]] in self.heads:
                 found += [i for f in word_features(w) if (i := self.index.get(f)) is not None]
         return len(words), tuple(found)
 
+    def all_features(self, text: str | None) -> set[str]:
+        """Every feature that occurs in a text."""
+        text, found = (text or "").lower(), set()
+        for chunk in set(text.split()):
+            found.update(*map(word_features, self.restorer.words(chunk)))
+        for letters in spaced_runs(text):
+            found.update(*map(word_features, self.restorer.spaced(letters)))
+        return found
+
     def _of(self, chunk: str) -> tuple[int, tuple]:
-        found = self.memo.get(chunk)
-        if found is None:
+        """Words and features of a chunk that is not kept yet."""
+        core = chunk.strip(AROUND)
+        if core[:BEGINNINGS[0]] not in self.heads and not REGION.search(core):
+            found = PLAIN if core else NO_WORD
+        else:
             found = self._features(self.restorer.words(chunk))
-            if len(chunk) <= LONGEST_KEPT:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo[chunk] = found
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self.memo[chunk] = found
         return found
 
     def __call__(self, text: str | None) -> tuple[int, Counter]:
         """Number of restored words, and how often each feature occurs."""
-        chunks = (text or "").lower().split()
-        counts, singles = Counter(chunks), 0
-        for c, n in counts.items():
-            if len(c) < 4 and len(c.strip(AROUND)) == 1:
-                singles += n
-        words, found = 0, Counter()
-        if singles > 2:
-            for letters in spaced_runs(chunks):
-                n, features = self._features(self.restorer.spaced(letters))
+        text = (text or "").lower()
+        words, found, get = 0, Counter(), self.memo.get
+        for chunk, n in Counter(text.split()).items():
+            known = get(chunk) or self._of(chunk)
+            if known is PLAIN:
                 words += n
-                found.update(features)
-        # single characters of such stretches count once more as words of their own; a letter is no feature
-        for chunk, n in counts.items():
-            size, features = self._of(chunk)
+                continue
+            size, features = known
             words += n * size
             for f in features:
                 found[f] += n
+        # characters of spaced words have counted as words of their own already; a letter is no feature
+        for letters in spaced_runs(text):
+            n, features = self._features(self.restorer.spaced(letters))
+            words += n
+            found.update(features)
         return words, found
 
 
@@ -300,15 +322,15 @@ class Scorer:
         self.grams, self.features, self.weights = grams, features, weights
         self.key = hashlib.sha256(grams + repr(features).encode()).hexdigest()
 
-    def reader(self, features: list[str] | None) -> Reader:
+    def reader(self) -> Reader:
         def make():
             with np.load(io.BytesIO(self.grams)) as arrays:
-                return Reader(CharModel(arrays["codes"], arrays["counts"]), features)
+                return Reader(CharModel(arrays["codes"], arrays["counts"]), self.features)
 
-        return held(("toxicity", self.key, features is None), make)
+        return held(("toxicity", self.key), make)
 
     def score(self, texts: list[str | None]) -> list[float]:
-        reader, out = self.reader(self.features), []
+        reader, out = self.reader(), []
         for text in texts:
             z = float(self.weights[-1]) + sum(float(self.weights[f]) * v for f, v in rates(*reader(text)).items())
             out.append(1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0)
@@ -351,9 +373,9 @@ def choose_features(rows: DataFrame, scorer: Scorer, limit: int) -> list[str]:
     shipped = rows.sparkSession.sparkContext.broadcast(scorer)
 
     def work(part):
-        reader, found = shipped.value.reader(None), {0: Counter(), 1: Counter()}
+        reader, found = shipped.value.reader(), {0: Counter(), 1: Counter()}
         for text, label in zip(part["text"], part["label"]):
-            found[label].update(reader(text)[1].keys())
+            found[label].update(reader.all_features(text))
         every = list(found[0].keys() | found[1].keys())
         return {"feature": every, "clean": [found[0][f] for f in every], "toxic": [found[1][f] for f in every]}
 
@@ -389,7 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def work(part):
-        reader = shipped.value.reader(shipped.value.features)
+        reader = shipped.value.reader()
         made = [rates(*reader(t)) for t in part["text"]]
         return {"label": part["label"], "at": [list(m) for m in made], "value": [list(m.values()) for m in made]}
 
