@@ -18,9 +18,13 @@ SDT_REPLICATES = 400  # draws of the signal-detection parameters
 UNIFORM = "(conv(substr(md5({key}), 1, 8), 16, 10) + 0.5D) / 4294967296D"
 
 
-def shifted_lognormal_cells(trials: DataFrame, by=("group", "dependency", "block"), shift_by: str = "group") -> DataFrame:
-    """Shift per group; log mean and log sd of the shifted RT per cell."""
-    shift = trials.groupBy(shift_by).agg((F.min("rt") * SHIFT_SHARE).alias("ndt"))
+def shifted_lognormal_cells(trials: DataFrame, by=("group", "dependency", "block"), shift_by: str = "group", shift: DataFrame | None = None) -> DataFrame:
+    """Shift per group; log mean and log sd of the shifted RT per cell.
+
+    ``shift`` has a column ``ndt`` per group, such as ``lognormal.shift_ml``; a share of the fastest response without it.
+    """
+    if shift is None:
+        shift = trials.groupBy(shift_by).agg((F.min("rt") * SHIFT_SHARE).alias("ndt"))
     x = join_lookup(trials, shift, [shift_by]).withColumn("_y", F.expr("ln(rt - ndt)"))
     return x.groupBy(*by).agg(
         F.count("*").alias("n"), F.first("ndt").alias("ndt"), F.avg("_y").alias("mu"), F.stddev_samp("_y").alias("sigma")

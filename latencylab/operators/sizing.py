@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -29,6 +32,17 @@ def few_groups(keys: DataFrame, groups: int | None, limit: int = BROADCAST_GROUP
     return keys.distinct().limit(limit + 1).count() <= limit
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where its folder is not on their path already."""
+    root, name = os.path.split(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or root == os.getcwd() or getattr(sc, "_package_shipped", False):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name))
+    sc._package_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -51,12 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Several branches then read the stored rows instead of recomputing them, and plans stay short.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, limit: int) -> DataFrame:
-    """A per-group aggregate as a local table if it has at most ``limit`` rows, else checkpointed."""
+    """A per-group aggregate as a local table if it has at most ``limit`` rows, else stored."""
     return settle_rows(df, limit)[0]
 
 

@@ -7,7 +7,7 @@ coefficient coding, the histogram or the rank passes that the Spark side uses.
 from __future__ import annotations
 
 from latencylab.functions import scalars as S
-from latencylab.operators import contrasts as C, distributions as D, effects as E, models as M
+from latencylab.operators import bootstrap as BS, contrasts as C, distributions as D, effects as E, lognormal as L, models as M
 from latencylab.plans import reports as P
 from latencylab.sources import warehouse as WH
 
@@ -31,24 +31,57 @@ JUDGE = f"""judge AS (
   SELECT source AS subj, doc_id AS item, lang AS dependency, quality = 1 AS "isDep",
     n_chars >= {WH.LONG_TEXT} AS "sayDep", CAST((quality = 1) = (n_chars >= {WH.LONG_TEXT}) AS INTEGER) AS acc
   FROM labels JOIN documents USING (doc_id))"""
-CELLS = f"""
-sliced AS (
-  SELECT (l_orderkey + 7 * l_partkey + 13 * l_suppkey + 31 * l_linenumber) % {WH.DRAW_SLICES} AS slice,
+ALL_CELLS = [(g, d, b) for g in COHORTS for d in DEPS for b in range(1, 8)]
+
+
+def _bootstrap() -> str:
+    """CTEs of the bootstrap draws: ``cell`` (long), ``wide`` (a column for each condition) and ``scale``."""
+    sums = []
+    for i, (g, d, b) in enumerate(ALL_CELLS):
+        mine = f"FILTER (\"group\" = '{g}' AND dependency = '{d}' AND block = {b})"
+        sums += [f"CAST(count(*) {mine} AS DOUBLE) AS n{i}", f"coalesce(sum(value) {mine}, 0) AS s{i}"]
+    sums += [f"coalesce(sum(value * value) FILTER (\"group\" = '{g}'), 0) AS q{g}" for g in COHORTS]
+    names = [f"{x}{i}" for i in range(len(ALL_CELLS)) for x in "ns"] + [f"q{g}" for g in COHORTS]
+    weights = ", ".join(
+        "CAST(" + " + ".join(f"CAST(substr(h, {4 * k + 1}, 4) >= '{c:04x}' AS INTEGER)" for c in BS.poisson_cuts()) + f" AS DOUBLE) AS w{k}"
+        for k in range(BS.PER_DIGEST)
+    )
+    folded = ", ".join(f"sum(w{k} * {n}) AS {n}_{k}" for k in range(BS.PER_DIGEST) for n in names)
+    each = ", ".join(
+        "{'k': %d, %s}" % (k, ", ".join(f"'{n}': {n}_{k}" for n in names)) for k in range(BS.PER_DIGEST)
+    )
+    values = ", ".join(f"{{'group': '{g}', 'dependency': '{d}', 'block': {b}, 'value': t.s{i} / t.n{i}}}" for i, (g, d, b) in enumerate(ALL_CELLS))
+    scales = []
+    for g in COHORTS:
+        mine = [i for i, c in enumerate(ALL_CELLS) if c[0] == g]
+        within = " + ".join(f"t.s{i} * t.s{i} / t.n{i}" for i in mine)
+        n = " + ".join(f"t.n{i}" for i in mine)
+        scales.append(f"SELECT draw, '{g}' AS \"group\", sqrt((t.q{g} - ({within})) / ({n} - {len(mine)})) AS s FROM replicate")
+    return f"""
+line AS (
+  SELECT substr(md5(concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, {BS.SLOT_DIGITS}) AS slot,
     CASE WHEN l_linestatus = 'F' THEN 'adults' ELSE 'children' END AS "group",
     CASE WHEN l_returnflag = 'A' THEN 'adjacent' WHEN l_returnflag = 'R' THEN 'nonadjacent' ELSE 'none' END AS dependency,
-    l_linenumber AS block, ln(l_extendedprice / 10) AS value, lineitem.*
+    l_linenumber AS block, ln(l_extendedprice / 10) AS value
   FROM lineitem
   WHERE l_quantity > 2 AND l_extendedprice > 1000 AND l_extendedprice < 100000 AND l_discount <> 0 AND l_tax <> 0.08),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY "group", dependency, block ORDER BY slice, l_orderkey, l_partkey,
-    l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM sliced),
+slots AS MATERIALIZED (SELECT slot, {", ".join(sums)} FROM line GROUP BY slot),
+digest AS (SELECT slots.*, j, md5(slot || '_' || j) AS h FROM slots, range({BS.REPLICATES // BS.PER_DIGEST}) r(j)),
+weighted AS (SELECT * EXCLUDE (h), {weights} FROM digest),
+folded AS MATERIALIZED (SELECT j, {folded} FROM weighted GROUP BY j),
+replicate AS MATERIALIZED (SELECT j * {BS.PER_DIGEST} + t.k AS draw, t FROM (SELECT j, unnest([{each}]) AS t FROM folded)),
 cell AS MATERIALIZED (
-  SELECT (k - 1) % {WH.DRAWS} AS draw, "group", dependency, block, avg(value) AS value FROM numbered GROUP BY ALL),
+  SELECT draw, c."group" AS "group", c.dependency AS dependency, c.block AS block, c.value AS value
+  FROM (SELECT draw, unnest([{values}]) AS c FROM replicate)),
+scale AS ({" UNION ALL ".join(scales)}),
 wide AS MATERIALIZED (
   SELECT draw, "group", {", ".join(f"max(value) FILTER (dependency = '{d}' AND block = {b}) AS {d}_{b}" for d in DEPS for b in range(1, 8))}
   FROM cell GROUP BY draw, "group")"""
 
 
+CELLS = _bootstrap()
+
+
 def q(key: str) -> str:
     return '"group"' if key == "group" else key
 
@@ -185,9 +218,7 @@ def weights(d: C.Design) -> str:
     return f'weights AS (SELECT * FROM (VALUES {", ".join(rows)}) t("group", dependency, block, parameter, w))'
 
 
-def sigma(d: C.Design) -> str:
-    return f"""sig AS (SELECT draw, "group", stddev_samp(value) AS s FROM cell
-  WHERE block IN ({", ".join(map(str, d.blocks))}) GROUP BY draw, "group")"""
+SIGMA = 'sig AS (SELECT draw, "group", s FROM scale)'
 
 
 def trend(blocks, prefix: str = "") -> str:
@@ -212,7 +243,7 @@ params AS MATERIALIZED (
 def params_group(d: C.Design) -> str:
     """Long coefficient draws of a group model: draw, parameter, value."""
     blocks = ", ".join(map(str, d.blocks))
-    return CELLS + ", " + weights(d) + ", " + sigma(d) + f""",
+    return CELLS + ", " + weights(d) + ", " + SIGMA + f""",
 params AS MATERIALIZED (
   SELECT c.draw, w.parameter, sum(c.value * w.w) AS value
   FROM cell c JOIN weights w ON c."group" = w."group" AND c.dependency = w.dependency AND c.block = w.block GROUP BY ALL
@@ -231,7 +262,7 @@ def log_differences(d: C.Design, scale: str = "x.s") -> str:
     scale_cte = 'SELECT draw, "group", s FROM sig' if scale == "draw" else (
         'SELECT draw, "group", avg(s) OVER (PARTITION BY "group") AS s FROM sig'
     )
-    return CELLS + ", " + sigma(d) + f""",
+    return CELLS + ", " + SIGMA + f""",
 scaled AS ({scale_cte}),
 pairs AS ({" UNION ALL ".join(parts)}),
 diffs AS MATERIALIZED (SELECT p.draw, p."group", dependency, effect, (hi - lo) / s AS value, exp(hi) - exp(lo) AS ms
@@ -256,7 +287,7 @@ def effect_table(d: C.Design, rows: list[tuple[dict, str, str]], scale: str, ove
     other = [q(x) for x in keys if x != "group"]
     sel = ", ".join(['p."group"', *other])
     joins = "".join(f"\n  JOIN {t} USING ({k})" for t in ("rt_m", "rt_i", "d_m", "d_i", "rope"))
-    body = CELLS + ", " + sigma(d) + f""",
+    body = CELLS + ", " + SIGMA + f""",
 scaled AS ({scale_cte}),
 pairs AS ({" UNION ALL ".join(parts)}),
 diffs AS MATERIALIZED (SELECT p.draw, {sel}, (hi - lo) / s AS d, {ms} AS rt
@@ -390,6 +421,25 @@ pr AS (SELECT *, (hits + 0.5::DOUBLE) / (signals + 1) AS ph, (fas + 0.5::DOUBLE)
 z AS (SELECT *, {probit("ph")} AS z_hit, {probit("pf")} AS z_fa FROM pr)"""
 
 
+def shift_ml() -> str:
+    """CTEs ending in ``ml`` (group, n, ndt, loglik): the same narrowing search, written out."""
+    k, last = L.POINTS, L.PASSES - 1
+    made = [f"""b0 AS (SELECT "group", 0.0::DOUBLE AS lo, min(rt) * {L.MOST} / {k} AS step FROM clean GROUP BY 1)"""]
+    for i in range(L.PASSES):
+        made.append(f"""e{i} AS (
+  SELECT "group", k, lo, step, count(*) AS n, sum(ln(rt - (lo + k * step))) AS s, sum(ln(rt - (lo + k * step)) * ln(rt - (lo + k * step))) AS q
+  FROM clean JOIN b{i} USING ("group"), range({k + 1}) t(k) GROUP BY "group", k, lo, step, dependency, block),
+l{i} AS MATERIALIZED (SELECT "group", k, lo, step, sum(n) AS n, -0.5 * sum(n) * ln(sum(q - s * s / n) / sum(n)) - sum(s) AS ll FROM e{i} GROUP BY 1, 2, 3, 4),
+m{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY ll DESC, k) AS place FROM l{i}) WHERE place = 1)""")
+        if i < last:
+            made.append(f'b{i + 1} AS (SELECT "group", lo + step * least(greatest(k - 1, 0), {k - 2}) AS lo, 2 * step / {k} AS step FROM m{i})')
+    made.append(f"""ml AS (
+  SELECT m."group" AS "group", m.n AS n, m.ll - 0.5 * m.n * (1 + ln(2 * pi())) AS loglik,
+    m.lo + m.step * (m.k + CASE WHEN a.ll - 2 * m.ll + b.ll < 0 THEN 0.5 * (a.ll - b.ll) / (a.ll - 2 * m.ll + b.ll) ELSE 0 END) AS ndt
+  FROM m{last} m LEFT JOIN l{last} a ON a."group" = m."group" AND a.k = m.k - 1 LEFT JOIN l{last} b ON b."group" = m."group" AND b.k = m.k + 1)""")
+    return ", ".join(made)
+
+
 def uniform(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296"
 
@@ -536,7 +586,7 @@ FROM diffs a JOIN hdi b ON {on(BY)} AND value BETWEEN lo AND hi GROUP BY 1, 2, 3
     out["crosstab"] = W + TRIALS + " SELECT dependency2, " + ", ".join(f"count(*) FILTER (block = {b}) AS block_{b}" for b in range(1, 8)) + " FROM trials GROUP BY 1"
     out["level_counts"] = W + CLEAN + " SELECT block, count(*) AS n FROM clean GROUP BY 1"
     out["six_number"] = W + CELLS + ', msr AS (SELECT "group", exp(value) AS v FROM cell) SELECT "group", round(min(v), 6) AS "min", round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS "max" FROM msr GROUP BY 1'
-    out["sigma_by_group"] = W + CELLS + ", " + sigma(v3) + ' SELECT "group", round(avg(s), 4) AS sigma FROM sig GROUP BY 1'
+    out["sigma_by_group"] = W + CELLS + ", " + SIGMA + ' SELECT "group", round(avg(s), 4) AS sigma FROM sig GROUP BY 1'
     bf = ld + ", " + height("hh", "diffs", BY, 0.0) + ' SELECT "group", dependency, effect, round(height, 4) AS posterior, '
     n0 = f"{S.NORMAL_HEIGHT_AT_ZERO!r}::DOUBLE"
     out["bayes_factor_kde"] = W + bf + f"round({n0} / height, 4) AS bf FROM hh"
@@ -625,6 +675,8 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["q17_sdt_table"] = W + replicate_draws() + f", sl AS ({sd_long}) SELECT param, round_even(median(value), 2) AS med, round_even(quantile_cont(value, 0.025), 2) AS lo, round_even(quantile_cont(value, 0.975), 2) AS up FROM sl GROUP BY 1"
     out["report_scalars"] = W + effect_table(v3, dependency_rows(v3), "mean") + f""" SELECT "group", dependency, effect, round_even(d_med, 2) AS d_med, round_even(d_lo, 2) AS d_lo, round_even(d_up, 2) AS d_up, {number_text("rope")} || '%' AS rope FROM effects WHERE effect = 'transfer'"""
 
+    out["shift_ml"] = W + CLEAN + ", " + shift_ml() + ' SELECT "group", CAST(n AS BIGINT) AS n, round(ndt, 4) AS ndt, round(loglik, 4) AS loglik FROM ml'
+    out["shifted_lognormal_ml_cells"] = W + CLEAN + ", " + shift_ml() + f""" SELECT {ck}, count(*) AS n, round(any_value(ndt), 4) AS ndt, round(avg(ln(rt - ndt)), 4) AS mu, round(stddev_samp(ln(rt - ndt)), 4) AS sigma FROM clean JOIN ml USING ("group") GROUP BY ALL"""
     out["shifted_lognormal_cells"] = W + CLEAN + f""", sh AS (SELECT "group", min(rt) * {M.SHIFT_SHARE} AS ndt FROM clean GROUP BY 1) SELECT {ck}, count(*) AS n, round(any_value(ndt), 4) AS ndt, round(avg(ln(rt - ndt)), 4) AS mu, round(stddev_samp(ln(rt - ndt)), 4) AS sigma FROM clean JOIN sh USING ("group") GROUP BY ALL"""
     out["contrast_regression"] = W + regression()
     out["partial_pooling"] = W + pooling("subj")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from latencylab.functions import scalars as S
-from latencylab.operators import contrasts as C, effects as E, models as M, reshape as R, trials as TR
+from latencylab.operators import contrasts as C, effects as E, lognormal as L, mixed, models as M, reshape as R, trials as TR
 from latencylab.operators.distributions import (
     ABOVE_ZERO, BELOW_ZERO, HDI89, HPDI95, Tail, rope_share, summarise,
 )
@@ -599,6 +599,53 @@ def shifted_lognormal_cells(spark, sf):
     return M.shifted_lognormal_cells(clean(spark, sf))
 
 
+@query
+def shift_ml(spark, sf):
+    return L.shift_ml(clean(spark, sf))
+
+
+@query
+def shifted_lognormal_ml_cells(spark, sf):
+    t = clean(spark, sf)
+    return M.shifted_lognormal_cells(t, shift=L.shift_ml(t).select("group", "ndt"))
+
+
+# Codings of the condition (both kinds against the baseline; adjacent against nonadjacent).
+CROSSED_TERMS = {
+    "Intercept": "1", "Dependency": "if(dependency = 'none', -2, 1) / 3", "Adjacency": "case dependency when 'adjacent' then 0.5 when 'nonadjacent' then -0.5 else 0 end",
+    "trial": "z",
+}
+
+
+def crossed_fit(spark, sf):
+    t = TR.z_score(clean(spark, sf), "trial_in_block", "z")
+    return mixed.crossed_effects(t, "ln(rt)", CROSSED_TERMS, "subj", "stim", ["Intercept", "Dependency", "trial"])
+
+
+@query
+def crossed_effects(spark, sf):
+    return crossed_fit(spark, sf).summary(spark)
+
+
+@query
+def crossed_effects_subjects(spark, sf):
+    return crossed_fit(spark, sf).unit_effects().withColumnRenamed("unit", "subj")
+
+
+SDT_TERMS = {
+    "c_Intercept": "-1", "c_dependencynonadjacent": "-if(dependency = 'en', 0, 1)",
+    "dprime_Intercept": "if(expected = 'k', 1, 0)", "dprime_dependencynonadjacent": "if(expected = 'k' and dependency != 'en', 1, 0)",
+}
+SDT_ITEMS = 40
+
+
+@query
+def sdt_hierarchical(spark, sf):
+    """Judged items are seen once each in these tables, so they stand for forty kinds of items."""
+    j = WH.judgements(spark, sf).withColumn("item", F.expr(f"pmod(item, {SDT_ITEMS})"))
+    return mixed.hierarchical_probit(j, "given = 'k'", SDT_TERMS, "subj", "item", list(SDT_TERMS)).summary(spark)
+
+
 @query
 def contrast_regression(spark, sf):
     t = TR.cell_key(clean(spark, sf), ("dependency", "block"))

@@ -11,12 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latencylab.operators import contrasts
+from latencylab.operators import bootstrap, contrasts
 from latencylab.operators.contrasts import COHORTS, Design
-from latencylab.operators.sizing import broadcast_checked, checkpoint_dir
+from latencylab.operators.sizing import checkpoint_dir
 
-DRAWS = 64  # draws the lines of a cell are dealt out to; the smallest cell of the smallest tables has 92 lines
-DRAW_SLICES = 64  # slices of a cell in which its lines are numbered
+LINE_KEY = "concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 LONG_TEXT = 1500  # characters from which a judge says yes
 CHAINS = 3
 
@@ -52,34 +51,21 @@ def trials(spark: SparkSession, sf_dir: str, stored_filter: str | None = None) -
     )
 
 
-def _build_cell_draws(spark: SparkSession, sf_dir: str, draws: int = DRAWS, slices: int = DRAW_SLICES) -> DataFrame:
-    """One row per draw, one log-RT column per group x dependency x block cell; every cleaned line counts once.
+def _build_cell_draws(spark: SparkSession, sf_dir: str, draws: int = bootstrap.REPLICATES) -> DataFrame:
+    """One row per draw: a log-RT column per group x dependency x block cell, and ``sigma_<group>``.
 
-    The lines of a cell are numbered and dealt out to ``draws`` draws in turn; a draw's value is the mean of its
-    lines.  Numbering runs inside slices of a cell, by a mix of the lines' keys that no single hot key can fill,
-    and is shifted by the sizes of the slices before, so no window holds a cell.  Both numbers are fixed, so the
-    draws that exist do not depend on the size of the table.  A cell with fewer lines than draws is an error.
+    A draw is a Poisson bootstrap replicate of the cell means over the cleaned lines, so it spreads as the
+    standard error of a mean does; the residual scale of a cohort is taken within its cells, by draw.
     """
-    mix = "l_orderkey + 7 * l_partkey + 13 * l_suppkey + 31 * l_linenumber"
     rows = table(spark, sf_dir, "lineitem").where(CLEAN_ON_STORED).selectExpr(
-        f"({mix}) % {slices} as slice",
+        f"{bootstrap.slot_of(LINE_KEY)} as slot",
         f"concat_ws('_', {COHORT_OF_STATUS}, {DEPENDENCY_OF_FLAG}, l_linenumber) as cell",
         "ln(l_extendedprice / 10) as value",
-        "struct(l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as o",
     )
     cells = all_cells()
-    sizes = rows.groupBy("cell", "slice").agg(F.count("*").alias("n"))
-    before = "over (partition by cell order by slice rows between unbounded preceding and 1 preceding)"
-    sizes = broadcast_checked(sizes.selectExpr("cell", "slice", "n", f"coalesce(sum(n) {before}, 0L) as skip"))
-    least = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    if short := [c for c in cells if least.get(c, 0) < draws]:
-        raise ValueError(f"cells with fewer than {draws} lines: {', '.join(short)}")
-    k = "row_number() over (partition by cell, slice order by o)"
-    dealt = rows.selectExpr("cell", "slice", "value", f"{k} as k").join(sizes.drop("n"), ["cell", "slice"])
-    dealt = dealt.selectExpr("cell", "value", f"(skip + k - 1) % {draws} as draw")
-    means = dealt.groupBy("draw", "cell").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
-    wide = means.groupBy("draw").pivot("cell", cells).agg(F.first("value"))  # a row for each draw and cell
-    return wide.selectExpr("draw", f"cast(draw % {CHAINS} as int) as chain", *[f"`{c}`" for c in cells])
+    pools = {g: [c for c in cells if c.startswith(g + "_")] for g in COHORTS}
+    wide = bootstrap.cell_means(bootstrap.slot_sums(rows), cells, pools, draws)
+    return wide.withColumn("chain", F.expr(f"cast(draw % {CHAINS} as int)"))
 
 
 def all_cells() -> list[str]:
@@ -146,10 +132,8 @@ def _build_group(spark: SparkSession, sf_dir: str, d: Design) -> DataFrame:
     keep = ["draw", "chain"]
     for g in COHORTS:
         mine = [f"`{n}`" for n in d.cell_names if n.startswith(g + "_")]
-        total, squares = " + ".join(mine), " + ".join(f"{c} * {c}" for c in mine)
-        k = len(mine)
         keep.append(f"least({', '.join(mine)}) - 1 as b_ndt_group{g}")
-        keep.append(f"ln(sqrt(({squares} - ({total}) * ({total}) / {k}) / {k - 1})) as b_sigma_group{g}")
+        keep.append(f"ln(sigma_{g}) as b_sigma_group{g}")
     names = [(c, cell[-1]) for c, cell in zip(d.cell_names, d.cells)]
     keep.append(f"{_trend(names)} as b_scaletrial_in_block")
     return contrasts.encode(wide, d, tuple(keep))

@@ -13,16 +13,18 @@ SELECTION = [
     "pooled_summary", "rope_share_by_effect", "accuracy_summary", "nested_effect_report", "format_p", "decode_7block",
     "q1_cohort_description", "q3_transfer_slowdown", "q8_cohort_effects_table", "q10_group_effects_v2",
     "q12_effect_sizes_v3", "q16_hit_rates", "q17_sdt_table", "contrast_regression", "partial_pooling", "rhat",
-    "predictive_bars",
+    "predictive_bars", "shift_ml", "sigma_by_group",
 ]
+# fits that solve equations round by round; tested against dense solutions in test_mixed.py
+ITERATIVE = {"crossed_effects", "crossed_effects_subjects", "sdt_hierarchical"}
 NAMES = list(entry.oracle_sql()) if os.environ.get("TEST_ALL_QUERIES") else SELECTION
 
 
-def test_every_library_query_has_sql():
+def test_every_other_library_query_has_sql():
     from latencylab.plans.oracles import oracle_sql
     from latencylab.plans.queries import QUERIES
 
-    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) - ITERATIVE == set(oracle_sql())
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
