@@ -11,8 +11,6 @@ from latencylab.operators.reshape import join_lookup
 from latencylab.operators.sizing import cut_lineage
 
 SHIFT_SHARE = 0.9  # shift of the lognormal as a share of the fastest response of the group
-REPLICATES = 11  # simulated data sets of a predictive check
-
 SDT_REPLICATES = 400  # draws of the signal-detection parameters
 # A repeatable uniform number in (0, 1) from 32 bits of a digest of a key, the same in any SQL engine.
 UNIFORM = "(conv(substr(md5({key}), 1, 8), 16, 10) + 0.5D) / 4294967296D"
@@ -149,57 +147,20 @@ def rhat(draws: DataFrame, by: list[str], chain: str = "chain", value: str = "va
     return per.selectExpr(*by, "sqrt(((n - 1) / n * w + b) / w) as rhat")
 
 
-def simulated_judgements(judgements: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Observed answers beside repeatable simulated ones from the signal-detection model."""
-    est = signal_detection(judgements, ["dependency"]).select("dependency", "dprime", "criterion")
-    x = join_lookup(judgements, est, ["dependency"]).selectExpr(
-        "subj", "item", "dependency", "cast(given = 'k' as int) as y",
-        "dprime * cast(expected = 'k' as int) - criterion as eta",
-        f"inline(array({', '.join(f'struct({r} as rep)' for r in range(replicates))}))",
-    )
-    u = F.expr(UNIFORM.format(key="concat(item, '_', rep)"))
-    return x.select("subj", "item", "dependency", "y", "rep", (u < S.normal_cdf("eta")).cast("int").alias("y_rep"))
-
-
-def predictive_bars(sim: DataFrame) -> DataFrame:
-    """Observed counts of each answer, and median and 90 % range of the simulated counts."""
-    observed = sim.where("rep = 0").groupBy("y").agg(F.count("*").alias("observed"))
-    per_rep = sim.groupBy("rep", F.col("y_rep").alias("y")).agg(F.count("*").alias("n"))
-    # a row per replicate: a fixed handful
-    q = per_rep.groupBy("y").agg(
-        F.expr("percentile(n, 0.5) as sim_mid"), F.expr("percentile(n, 0.05) as sim_lo"), F.expr("percentile(n, 0.95) as sim_hi")
-    )
-    return observed.join(q, "y", "left")
-
-
-def predictive_rootogram(sim: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Square roots of how many participants gave k yes-answers, observed and simulated on average."""
-    per_subject = sim.groupBy("rep", "subj").agg(F.sum("y").alias("obs"), F.sum("y_rep").alias("sim"))
-    both = per_subject.selectExpr(
-        "inline(array(struct(obs as k, if(rep = 0, 1, 0) as o, 0 as s), struct(sim as k, 0 as o, 1 as s)))"
-    )
-    return both.groupBy("k").agg(F.expr("sqrt(sum(o)) as observed"), F.expr(f"sqrt(sum(s) / {replicates}) as simulated"))
-
+def conditional_effects(params: DataFrame, d: C.Design, response: bool = False, unit_variance: float = 0.0) -> DataFrame:
+    """Median and central 95 % interval of every decoded cell, in ms.
 
-def predictive_stat_2d(sim: DataFrame) -> DataFrame:
-    """Mean and sd of the answers, observed (replicate -1) and per replicate."""
-    rows = sim.selectExpr("inline(array(struct(rep, y_rep as v), struct(if(rep = 0, -1, null) as rep, y as v)))")
-    return rows.where("rep is not null").groupBy("rep").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-
-
-def predictive_errors(sim: DataFrame) -> DataFrame:
-    return sim.groupBy("rep", F.expr("y - y_rep as error")).agg(F.count("*").alias("n"))
-
-
-def predictive_scatter(sim: DataFrame) -> DataFrame:
-    """Observed answer against its average prediction over the replicates, with multiplicities."""
-    per_item = sim.groupBy("item").agg(F.first("y").alias("y"), F.avg("y_rep").alias("prediction"))
-    return per_item.groupBy("y", "prediction").agg(F.count("*").alias("n"))
-
-
-def conditional_effects(params: DataFrame, d: C.Design) -> DataFrame:
-    """Median and central 95 % interval of every decoded cell, in ms."""
-    rows = C.decode_long(params, d, ("draw",)).withColumn("value", F.exp("value"))
+    By default of the median response without the shift.  ``response`` gives the mean response of a shifted lognormal,
+    ``exp(mu + sigma^2 / 2) + ndt`` with scale and shift of each draw and group; ``unit_variance`` is the variance of
+    further normal effects on the log scale (of participants and stimuli) that it is averaged over.
+    """
+    if response:
+        keep = [f"b_{p}_group{g}" for g in d.groups for p in ("sigma", "ndt")]
+        rows = C.decode_long(params, d, ("draw", *keep))
+        of = lambda p: "case `group` " + " ".join(f"when '{g}' then exp(b_{p}_group{g})" for g in d.groups) + " end"
+        rows = rows.withColumn("value", F.expr(f"exp(value + (power({of('sigma')}, 2) + {unit_variance!r}D) / 2) + {of('ndt')}"))
+    else:
+        rows = C.decode_long(params, d, ("draw",)).withColumn("value", F.exp("value"))
     q = {"estimate": 0.5, "lower": 0.025, "upper": 0.975}
     return summarise(rows, C.key_names(d), quantiles=q, groups=len(d.cells)).select(*C.key_names(d), *q)
 

@@ -7,7 +7,7 @@ coefficient coding, the histogram or the rank passes that the Spark side uses.
 from __future__ import annotations
 
 from latencylab.functions import scalars as S
-from latencylab.operators import bootstrap as BS, contrasts as C, distributions as D, effects as E, lognormal as L, models as M
+from latencylab.operators import bootstrap as BS, contrasts as C, distributions as D, effects as E, lognormal as L, models as M, predictive as PR
 from latencylab.plans import reports as P
 from latencylab.sources import warehouse as WH
 
@@ -467,12 +467,17 @@ sdraws AS (SELECT draw, -fa_a AS "b_c_Intercept", fa_a - fa_n AS b_c_dependencyn
 
 
 def simulated() -> str:
-    u = uniform("item || '_' || rep")
-    return sdt("dependency") + f""",
-obs AS (SELECT j.subj, j.item, CAST(j."sayDep" AS INTEGER) AS y,
-    (z_hit - z_fa) * CAST(j."isDep" AS INTEGER) + z_fa AS eta FROM judge j JOIN z USING (dependency)),
-sim AS (SELECT subj, item, y, rep, CAST({u} < {normal_cdf("eta")} AS INTEGER) AS y_rep
-  FROM obs, range({M.REPLICATES}) t(rep))"""
+    kind = "CASE WHEN dependency = 'en' THEN 'adjacent' ELSE 'nonadjacent' END"
+    pmf = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))"
+    return replicate_draws() + f""",
+cells AS (SELECT subj, {kind} AS kind, CAST("isDep" AS INTEGER) AS is_dep, CAST("sayDep" AS INTEGER) AS y, count(*) AS n FROM judge GROUP BY ALL),
+etas AS (SELECT cells.*, draw AS rep, CASE WHEN kind = 'adjacent' THEN "b_dprime_Intercept" * is_dep - "b_c_Intercept"
+    ELSE ("b_dprime_Intercept" + b_dprime_dependencynonadjacent) * is_dep - ("b_c_Intercept" + b_c_dependencynonadjacent) END AS eta
+  FROM cells, sdraws WHERE draw < {PR.REPLICATES}),
+probs AS (SELECT *, {normal_cdf("eta")} AS p, {uniform("concat_ws('_', subj, kind, is_dep, y, rep)")} AS u FROM etas),
+steps AS (SELECT *, unnest(range(0, n)) AS k FROM probs),
+cums AS (SELECT *, sum({pmf}) OVER (PARTITION BY subj, kind, is_dep, y, rep ORDER BY k) AS cum FROM steps),
+sim AS (SELECT subj, kind, is_dep, y, n, CAST(rep AS INTEGER) AS rep, count_if(cum < u) AS n_yes FROM cums GROUP BY ALL)"""
 
 
 def pooling(unit: str) -> str:
@@ -686,11 +691,13 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["sdt_replicates"] = W + replicate_draws() + " SELECT draw, " + ", ".join(f'round("{c}", 4) AS "{c}"' for c in sd_cols) + " FROM sdraws"
     out["rhat"] = W + params7() + f""", pc AS (SELECT "group", parameter, draw % {WH.CHAINS} AS chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM params GROUP BY ALL), pp AS (SELECT "group", parameter, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM pc GROUP BY ALL) SELECT "group", parameter, round(sqrt(((n - 1) / n * w + b) / w), 4) AS rhat FROM pp"""
     sm = W + simulated()
-    out["predictive_bars"] = sm + """, ob AS (SELECT y, count(*) AS observed FROM obs GROUP BY 1), pr2 AS (SELECT rep, y_rep AS y, count(*) AS n FROM sim GROUP BY 1, 2), qs AS (SELECT y, quantile_cont(n, 0.5) AS a, quantile_cont(n, 0.05) AS b, quantile_cont(n, 0.95) AS c FROM pr2 GROUP BY 1) SELECT y, observed, round(a, 4) AS sim_mid, round(b, 4) AS sim_lo, round(c, 4) AS sim_hi FROM ob LEFT JOIN qs USING (y)"""
-    out["predictive_rootogram"] = sm + f""", ps AS (SELECT rep, subj, CAST(sum(y) AS BIGINT) AS o, CAST(sum(y_rep) AS BIGINT) AS s FROM sim GROUP BY 1, 2), u AS (SELECT o AS k, CASE WHEN rep = 0 THEN 1 ELSE 0 END AS a, 0 AS b FROM ps UNION ALL SELECT s, 0, 1 FROM ps) SELECT k, round(sqrt(sum(a)), 4) AS observed, round(sqrt(sum(b) / {M.REPLICATES}), 4) AS simulated FROM u GROUP BY 1"""
-    out["predictive_stat2d"] = sm + """, u AS (SELECT CAST(rep AS INTEGER) AS rep, y_rep AS v FROM sim UNION ALL SELECT -1, y FROM obs) SELECT rep, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd FROM u GROUP BY 1"""
-    out["predictive_error_hist"] = sm + " SELECT CAST(rep AS INTEGER) AS rep, y - y_rep AS error, count(*) AS n FROM sim GROUP BY 1, 2"
-    out["predictive_scatter_avg"] = sm + ", u AS (SELECT item, any_value(y) AS y, avg(y_rep) AS p FROM sim GROUP BY 1) SELECT y, round(p, 4) AS prediction, count(*) AS n FROM u GROUP BY 1, 2"
+    out["predictive_bars"] = sm + """, ob AS (SELECT y, sum(n) AS observed FROM sim WHERE rep = 0 GROUP BY 1), t AS (SELECT rep, sum(n) AS n, sum(n_yes) AS yes FROM sim GROUP BY 1), pr2 AS (SELECT 0 AS y, n - yes AS c FROM t UNION ALL SELECT 1, yes FROM t), qs AS (SELECT y, quantile_cont(c, 0.5) AS a, quantile_cont(c, 0.05) AS b, quantile_cont(c, 0.95) AS c FROM pr2 GROUP BY 1) SELECT y, CAST(observed AS BIGINT) AS observed, round(a, 4) AS sim_mid, round(b, 4) AS sim_lo, round(c, 4) AS sim_hi FROM ob LEFT JOIN qs USING (y)"""
+    out["predictive_rootogram"] = sm + f""", ps AS (SELECT rep, subj, CAST(sum(y * n) AS BIGINT) AS o, CAST(sum(n_yes) AS BIGINT) AS s FROM sim GROUP BY 1, 2), u AS (SELECT o AS k, CASE WHEN rep = 0 THEN 1 ELSE 0 END AS a, 0 AS b FROM ps UNION ALL SELECT s, 0, 1 FROM ps) SELECT k, round(sqrt(sum(a)), 4) AS observed, round(sqrt(sum(b) / {PR.REPLICATES}), 4) AS simulated FROM u GROUP BY 1"""
+    out["predictive_stat2d"] = sm + """, t AS (SELECT rep, sum(n) AS n, sum(n_yes) AS s, sum(y * n) AS o FROM sim GROUP BY 1), u AS (SELECT rep, n, s AS c FROM t UNION ALL SELECT -1, n, o FROM t WHERE rep = 0) SELECT rep, round(c / n, 4) AS mean, round(sqrt(c / n * (1 - c / n) * n / (n - 1)), 4) AS sd FROM u"""
+    out["predictive_error_hist"] = sm + ", e AS (SELECT rep, y - 1 AS error, n_yes AS c FROM sim UNION ALL SELECT rep, y, n - n_yes FROM sim) SELECT rep, error, CAST(sum(c) AS BIGINT) AS n FROM e WHERE c > 0 GROUP BY 1, 2"
+    out["predictive_scatter_avg"] = sm + f", u AS (SELECT subj, kind, is_dep, y, n, sum(n_yes) / (n * {PR.REPLICATES}) AS p FROM sim GROUP BY 1, 2, 3, 4, 5) SELECT y, round(p, 4) AS prediction, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY y, p"
+    blocks3 = ", ".join(map(str, v3.blocks))
+    out["conditional_effects_response"] = W + CELLS + f""", shift AS (SELECT draw, "group", exp(min(value) - 1) AS ndt FROM cell WHERE block IN ({blocks3}) GROUP BY 1, 2), ms AS (SELECT {ck}, exp(value + s * s / 2) + ndt AS v FROM cell JOIN scale USING (draw, "group") JOIN shift USING (draw, "group") WHERE block IN ({blocks3})) SELECT {ck}, round(median(v), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM ms GROUP BY ALL"""
     out["conditional_effects"] = W + CELLS + f" SELECT {ck}, round(median(exp(value)), 6) AS estimate, round(quantile_cont(exp(value), 0.025), 6) AS lower, round(quantile_cont(exp(value), 0.975), 6) AS upper FROM cell WHERE block IN (1, 6, 7) GROUP BY ALL"
     for v, blocks in (("v1", "6, 7"), ("v2", "1, 2, 6, 7")):
         out[f"conditional_effects_{v}"] = out["conditional_effects"].replace("block IN (1, 6, 7)", f"block IN ({blocks})")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from latencylab.functions import scalars as S
-from latencylab.operators import contrasts as C, effects as E, lognormal as L, mixed, models as M, reshape as R, trials as TR
+from latencylab.operators import contrasts as C, effects as E, lognormal as L, mixed, models as M, predictive as PR, reshape as R, spline_density as SP, trials as TR
 from latencylab.operators.distributions import (
     ABOVE_ZERO, BELOW_ZERO, HDI89, HPDI95, Tail, rope_share, summarise,
 )
@@ -22,7 +22,7 @@ V1, V2, V3 = (C.design(f"group_{v}") for v in ("v1", "v2", "v3"))
 
 
 # interpolated quantiles of values with three decimals have six, so rounding to four would cut at ties
-FINE_DIGITS = {"percentile_interval": 6, "conditional_effects": 6, "conditional_effects_v1": 6, "conditional_effects_v2": 6, "conditional_effects_sdt": 6, "six_number": 6}
+FINE_DIGITS = {"percentile_interval": 6, "conditional_effects": 6, "conditional_effects_v1": 6, "conditional_effects_v2": 6, "conditional_effects_sdt": 6, "conditional_effects_response": 6, "six_number": 6}
 
 
 def shown(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -685,17 +685,43 @@ def rhat(spark, sf):
 
 def _predictive(stem, run):
     def one(spark, sf):
-        return run(M.simulated_judgements(WH.judgements(spark, sf)))
+        j = WH.judgements(spark, sf)
+        return run(PR.simulated_counts(j, M.sdt_replicates(j)))
 
     one.__name__ = f"predictive_{stem}"
     query(one)
 
 
-_predictive("bars", M.predictive_bars)
-_predictive("rootogram", M.predictive_rootogram)
-_predictive("stat2d", M.predictive_stat_2d)
-_predictive("error_hist", M.predictive_errors)
-_predictive("scatter_avg", M.predictive_scatter)
+_predictive("bars", PR.predictive_bars)
+_predictive("rootogram", PR.predictive_rootogram)
+_predictive("stat2d", PR.predictive_stat_2d)
+_predictive("error_hist", PR.predictive_errors)
+_predictive("scatter_avg", PR.predictive_scatter)
+
+LOO_DRAWS = 4_000
+
+
+@query
+def predictive_loo_pit(spark, sf):
+    j = WH.judgements(spark, sf)
+    return PR.sdt_leave_one_out(j, M.sdt_replicates(j, LOO_DRAWS))
+
+
+@query
+def conditional_effects_response(spark, sf):
+    return M.conditional_effects(WH.group_draws(spark, sf, V3), V3, response=True)
+
+
+@query
+def bayes_factor_spline(spark, sf):
+    by = ["group", "dependency", "effect"]
+    return SP.spline_bayes_factor(v3_log_differences(spark, sf), by, groups=12)
+
+
+@query
+def bayes_factor_spline_inverse(spark, sf):
+    by = ["group", "dependency", "effect"]
+    return SP.spline_bayes_factor(v3_log_differences(spark, sf), by, over_null=False, groups=12)
 
 
 @query

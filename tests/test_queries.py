@@ -15,8 +15,11 @@ SELECTION = [
     "q12_effect_sizes_v3", "q16_hit_rates", "q17_sdt_table", "contrast_regression", "partial_pooling", "rhat",
     "predictive_bars", "shift_ml", "sigma_by_group",
 ]
-# fits that solve equations round by round; tested against dense solutions in test_mixed.py
-ITERATIVE = {"crossed_effects", "crossed_effects_subjects", "sdt_hierarchical"}
+# fits that solve equations round by round; tested against direct solutions in test_mixed.py and test_predictive.py
+ITERATIVE = {
+    "crossed_effects", "crossed_effects_subjects", "sdt_hierarchical", "predictive_loo_pit", "bayes_factor_spline",
+    "bayes_factor_spline_inverse",
+}
 NAMES = list(entry.oracle_sql()) if os.environ.get("TEST_ALL_QUERIES") else SELECTION
 
 
