@@ -23,16 +23,34 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group keep the document of smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("id != component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each SimHash group keep the document of smallest id.
+
+    A document is told by its id and a checksum of its text: other texts under an id that goes are judged by
+    themselves.  Documents without an id come after the others; of equal ids the smallest checksum stays; a row listed
+    again is kept once (of rows that differ in other columns, the one with the smallest of these).
+    """
+    tag = F.xxhash64("text")
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tag.alias("tag")).alias("key"), "text")
+    found = simhash.near_duplicates(rows, id_col="key")
+    found = found.groupBy("id").agg(F.first("component_id").alias("first"), F.count("*").alias("n"))
+    judged = stored(found.where("id != first or n > 1").selectExpr("id.id as gone_id", "id.tag as gone_tag", "id = first as stays"), "near-duplicates")
+
+    def joined(part: DataFrame, how: str) -> DataFrame:
+        on = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (tag_of_row == F.col("gone_tag"))
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(part, on, how)
+
+    tag_of_row = F.xxhash64("row.text")
+    once = joined(judged, "left_anti").select("row")
+    again = joined(judged.where("stays"), "inner").groupBy("gone_id", "gone_tag").agg(F.min("row").alias("row")).select("row")
+    return once.union(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document has; ``n_chars`` follows the text."""
-    cut = unit_dedup.dedup(docs).select(docs.columns)
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = unit_dedup.dedup(rows)
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return cut.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

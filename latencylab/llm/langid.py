@@ -188,20 +188,28 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 
 
 def sample(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """``id, text, lang, calibrates`` of the rows to learn from; only ids and lengths are ranked."""
-    order = Window.partitionBy("lang").orderBy("rank", "id", "size")
-    light = labelled.select("id", "lang", F.xxhash64("id").alias("rank"), F.length("text").alias("size")).where("size > 0")
+    """``id, text, lang, calibrates`` of the rows to learn from; only ids, lengths and checksums are ranked.
+
+    A row is told by id, language and a checksum of its text, so an id with many texts is not taken as a whole, and
+    rows listed again count once.
+    """
+    key = ["id", "lang", "tag"]
+    order = Window.partitionBy("lang").orderBy("rank", *key)
+    light = labelled.select("id", "lang", F.xxhash64("text").alias("tag"), F.length("text").alias("size")).where("size > 0")
+    light = light.groupBy(*key).agg(F.first("size").alias("size")).withColumn("rank", F.xxhash64("id", "tag"))
     # the first of each salt, then the first of all: a language of most rows is not ranked by one task
-    salted = Window.partitionBy("lang", F.pmod("rank", F.lit(SALTS))).orderBy("rank", "id", "size")
+    salted = Window.partitionBy("lang", F.pmod("rank", F.lit(SALTS))).orderBy("rank", *key)
     light = light.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= docs)
     first = light.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = first.withColumn("before", F.coalesce(before, F.lit(0)))
     chosen = first.where(F.col("before") + F.col("size") <= chars)
-    chosen = stored(chosen.groupBy("id", "lang").agg((F.min("k") % 4 == 0).alias("calibrates")), "language-sample")
+    chosen = stored(chosen.select(*key, (F.col("k") % 4 == 0).alias("calibrates")), "language-sample")
     if chosen.count() <= 200_000:
         chosen = F.broadcast(chosen)
-    return stored(labelled.where(F.length("text") > 0).join(chosen, ["id", "lang"]).select("id", "text", "lang", "calibrates"), "language-texts")
+    rows = labelled.where(F.length("text") > 0).withColumn("tag", F.xxhash64("text")).join(chosen, key)
+    rows = rows.groupBy(*key).agg(F.first("text").alias("text"), F.first("calibrates").alias("calibrates"))
+    return stored(rows.select("id", "text", "lang", "calibrates"), "language-texts")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
