@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from latencylab.functions import scalars as S
 from latencylab.operators import bootstrap as BS, contrasts as C, distributions as D, effects as E, lognormal as L, models as M, predictive as PR
-from latencylab.plans import reports as P
+from latencylab.plans import queries as QU, reports as P
 from latencylab.sources import warehouse as WH
 
 DEPS = C.DEPENDENCIES
@@ -680,6 +680,20 @@ SELECT CAST({level_order(levels)} AS INTEGER) AS position, CASE WHEN contains(pa
     out["q17_sdt_table"] = W + replicate_draws() + f", sl AS ({sd_long}) SELECT param, round_even(median(value), 2) AS med, round_even(quantile_cont(value, 0.025), 2) AS lo, round_even(quantile_cont(value, 0.975), 2) AS up FROM sl GROUP BY 1"
     out["report_scalars"] = W + effect_table(v3, dependency_rows(v3), "mean") + f""" SELECT "group", dependency, effect, round_even(d_med, 2) AS d_med, round_even(d_lo, 2) AS d_lo, round_even(d_up, 2) AS d_up, {number_text("rope")} || '%' AS rope FROM effects WHERE effect = 'transfer'"""
 
+    out["source_trials"] = W + TRIALS + ' SELECT "group", block, count(*) AS n, count(dependency2) AS n_dependent, CAST(sum(acc) AS BIGINT) AS n_acc, round(avg(rt), 4) AS mean_rt FROM trials GROUP BY 1, 2'
+    out["source_rejects"] = W + TRIALS + """, marked AS (SELECT *, block = 7 AND stim = 3 AS bad_rt, block IN (2, 7) AND stim IN (3, 5) AS bad_acc FROM trials)
+SELECT block, count(*) AS n, round(avg(rt), 4) AS mean_rt, 'accepted' AS "column", NULL AS raw FROM marked WHERE NOT bad_rt AND NOT bad_acc GROUP BY 1
+UNION ALL SELECT NULL, count(*), NULL, 'rt', 'slow' FROM marked WHERE bad_rt HAVING count(*) > 0
+UNION ALL SELECT NULL, count(*), NULL, 'acc', 'yes' FROM marked WHERE bad_acc HAVING count(*) > 0"""
+    out["source_judgements"] = W + JUDGE + """ SELECT dependency, CASE WHEN "sayDep" THEN 'k' ELSE 'd' END AS given, count(*) AS n, count(DISTINCT item) AS n_items FROM judge GROUP BY 1, 2"""
+    intercept = f'SELECT draw, avg(value) AS v FROM cell WHERE block IN ({", ".join(map(str, v1.blocks))}) GROUP BY 1'
+    out["source_draws"] = W + CELLS + f""", i AS ({intercept}), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS d FROM i)
+SELECT count(*) AS n, count(DISTINCT d) AS n_draws, max(d) AS last_draw, round(avg(v), 4) AS mean, round(corr(d, v), 4) AS "order" FROM k"""
+    out["source_derived"] = W + CELLS + ", " + SIGMA + ' SELECT "group", round(avg(s), 4) AS sigma FROM sig GROUP BY 1'
+    probabilities = ", ".join(f"({p}::DOUBLE)" for p in QU.SKETCH_PROBABILITIES)
+    out["refreshed_results"] = W + CLEAN + """, t AS (SELECT block, dependency, CASE WHEN block = 2 THEN rt * 2 ELSE rt END AS rt FROM clean WHERE block <> 1)
+SELECT block, dependency, round(avg(rt), 4) AS mean, round(stddev_samp(rt), 4) AS sd, CAST(CASE WHEN block IN (2, 7) THEN 2 ELSE 1 END AS BIGINT) AS version FROM t GROUP BY block, dependency"""
+    out["quantile_sketches"] = W + CLEAN + f""", g AS (SELECT "group", dependency, count(*) AS n FROM clean GROUP BY 1, 2) SELECT "group", dependency, p, n, true AS within FROM g, (VALUES {probabilities}) t(p)"""
     out["shift_ml"] = W + CLEAN + ", " + shift_ml() + ' SELECT "group", CAST(n AS BIGINT) AS n, round(ndt, 4) AS ndt, round(loglik, 4) AS loglik FROM ml'
     out["shifted_lognormal_ml_cells"] = W + CLEAN + ", " + shift_ml() + f""" SELECT {ck}, count(*) AS n, round(any_value(ndt), 4) AS ndt, round(avg(ln(rt - ndt)), 4) AS mu, round(stddev_samp(ln(rt - ndt)), 4) AS sigma FROM clean JOIN ml USING ("group") GROUP BY ALL"""
     out["shifted_lognormal_cells"] = W + CLEAN + f""", sh AS (SELECT "group", min(rt) * {M.SHIFT_SHARE} AS ndt FROM clean GROUP BY 1) SELECT {ck}, count(*) AS n, round(any_value(ndt), 4) AS ndt, round(avg(ln(rt - ndt)), 4) AS mu, round(stddev_samp(ln(rt - ndt)), 4) AS sigma FROM clean JOIN sh USING ("group") GROUP BY ALL"""

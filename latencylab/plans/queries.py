@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from latencylab.functions import scalars as S
-from latencylab.operators import contrasts as C, effects as E, lognormal as L, mixed, models as M, predictive as PR, reshape as R, spline_density as SP, trials as TR
+from latencylab.operators import contrasts as C, diagnostics as DG, effects as E, lognormal as L, mixed, models as M
+from latencylab.operators import predictive as PR, reshape as R, sketches as K, spline_density as SP, trials as TR
 from latencylab.operators.distributions import (
     ABOVE_ZERO, BELOW_ZERO, HDI89, HPDI95, Tail, rope_share, summarise,
 )
+from latencylab.operators.sizing import checkpoint_dir
 from latencylab.plans import reports as P
-from latencylab.sources import warehouse as WH
+from latencylab.sources import files as FS, results as RS, schemas, warehouse as WH
 
 DIGITS = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +174,76 @@ def judgement_flags(spark, sf):
     return TR.hits(WH.judgements(spark, sf)).groupBy("isDep", "sayDep").agg(F.count("*").alias("n"))
 
 
+# --- sources: written as files, read back --------------------------------------------------------
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+TRIAL_ORDER = [f.name for f in schemas.TRIALS.fields]
+
+
+@query
+def source_trials(spark, sf):
+    """Cohorts in folders of their own, with other column orders and a further column."""
+    t, path = WH.trials(spark, sf), _folder(spark)
+    orders = {"adults": TRIAL_ORDER, "children": [*reversed(TRIAL_ORDER), "note"]}
+    for g, order in orders.items():
+        FS.write_table(t.where(F.col("group") == g).withColumn("note", F.lit("x")).select(*order), f"{path}/{g}", "csv")
+    back = FS.read_cohorts(spark, {g: f"{path}/{g}" for g in orders})
+    return back.groupBy("group", "block").agg(F.count("*").alias("n"), F.count("dependency2").alias("n_dependent"), F.sum("acc").alias("n_acc"), F.avg("rt").alias("mean_rt"))
+
+
+@query
+def source_rejects(spark, sf):
+    """Files of two headers in one folder, with answers and times that can't be read."""
+    t, path = WH.trials(spark, sf), _folder(spark)
+    t = t.withColumns({
+        "rt": F.expr("if(block = 7 and stim = 3, 'slow', cast(rt as string))"), "acc": F.expr("if(block in (2, 7) and stim in (3, 5), 'yes', cast(acc as string))"),
+    })
+    for g, order in (("adults", TRIAL_ORDER), ("children", TRIAL_ORDER[::-1])):
+        FS.write_table(t.where(F.col("group") == g).select(*order), path, "csv", mode="append")
+    accepted, rejected = FS.read_folder(spark, path, schemas.TRIALS)
+    good = accepted.groupBy("block").agg(F.count("*").alias("n"), F.avg("rt").alias("mean_rt")).withColumn("column", F.lit("accepted"))
+    bad = rejected.groupBy("column", "raw").agg(F.count("*").alias("n"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query
+def source_judgements(spark, sf):
+    path = _folder(spark)
+    FS.write_table(WH.judgements(spark, sf), path, "csv", ("dependency",))
+    # the folder's partition column comes back with the files' columns
+    back = FS.read_judgements(spark, path, "csv")
+    return back.groupBy("dependency", "given").agg(F.count("*").alias("n"), F.countDistinct("item").alias("n_items"))
+
+
+@query
+def source_draws(spark, sf):
+    """Draws without a key in the file get one by the order of their values."""
+    path, names = _folder(spark), ["b_Intercept", *V1.parameters]
+    FS.write_table(WH.group_draws(spark, sf, V1).select(*names), path, "csv")
+    back = FS.read_draws(spark, path, names, keyed=False)
+    return back.agg(F.count("*").alias("n"), F.countDistinct("draw").alias("n_draws"), F.max("draw").alias("last_draw"), F.avg("b_Intercept").alias("mean"), F.corr("draw", "b_Intercept").alias("order"))
+
+
+@query
+def source_derived(spark, sf):
+    path = _folder(spark)
+    FS.write_table(E.sigma_by_group(WH.group_draws(spark, sf, V3), V3.groups), path, "csv")
+    return FS.read_derived(spark, path, "sigmas")
+
+
+@query
+def refreshed_results(spark, sf):
+    """Block summaries refreshed twice: one block's input changes, one block is new, one goes."""
+    t, path = clean(spark, sf).select("block", "dependency", "rt"), _folder(spark)
+    build = lambda rows: TR.mean_sd(rows, ["block", "dependency"], "rt")
+    RS.refresh(path, t.where("block < 7"), ["block"], build)
+    RS.refresh(path, t.where("block != 1").withColumn("rt", F.expr("if(block = 2, rt * 2, rt)")), ["block"], build)
+    return RS.read(spark, path, ["block"], versions=True).withColumnRenamed(RS.VERSION, "version")
+
+
 # --- reshaping and joins ------------------------------------------------------------------------
 
 @query
@@ -280,6 +353,19 @@ def rope_share_by_effect(spark, sf):
     return hdi.join(rope_share(rows, by, hdi, groups=12), by)
 
 
+SKETCH_PROBABILITIES = [0.025, 0.25, 0.5, 0.75, 0.975]
+
+
+@query
+def quantile_sketches(spark, sf):
+    """Quantiles merged from a sketch per block, and whether their exact ranks are within twice the stated error."""
+    t, by = clean(spark, sf), ["group", "dependency"]
+    found = K.quantiles(K.load_sketches(t, by, "block", "rt"), by, SKETCH_PROBABILITIES)
+    found = F.broadcast(found)  # a row for each group and probability
+    ranks = t.join(found, by).groupBy(*by, "p", "n", "rank_error").agg(F.expr("avg(cast(rt < estimate as double)) as below"), F.expr("avg(cast(rt <= estimate as double)) as upto"))
+    return ranks.selectExpr(*[f"`{b}`" for b in by], "p", "n", "p between below - 2 * rank_error and upto + 2 * rank_error as within")
+
+
 @query
 def mean_sd(spark, sf):
     return TR.mean_sd(WH.judgements(spark, sf), ["dependency"], "acc")
@@ -683,6 +769,12 @@ def rhat(spark, sf):
     return M.rhat(long, ["group", "parameter"])
 
 
+@query
+def chain_diagnostics(spark, sf):
+    long = R.gather(params7(spark, sf), ["draw", "chain", "group"])
+    return DG.chain_diagnostics(long, ["group", "parameter"])
+
+
 def _predictive(stem, run):
     def one(spark, sf):
         j = WH.judgements(spark, sf)

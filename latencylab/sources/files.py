@@ -24,6 +24,36 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+MOST_COLUMNS = 64  # columns of a file that are looked at
+
+
+def read_folder(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """CSV files with headers of their own: the rows that fit a schema, and the values that don't.
+
+    Columns are found by name, file by file, so files may differ in order and in further columns; a header repeated
+    inside a file is no row.  The first table has the rows all of whose values can be read; the second, ``file,
+    record, column, raw``, has each value that can't, with the whole record.  Records of a file without a header that
+    names all columns are rejected with an empty column.  Nothing raises and no record is in neither table; empty values and
+    ``NA`` are null, and so are values that a short record lacks.
+    """
+    slots = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in slots)).option("header", False).option("nullValue", "NA").csv(path)
+    found = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*slots).alias("v"))
+    wanted = F.array(*[F.lit(f.name) for f in schema.fields])
+    is_header = F.size(F.array_except(wanted, "v")) == 0
+    headers = found.where(is_header).groupBy("file").agg(F.first("v").alias("names"))
+    rows = found.where(~is_header).join(broadcast_checked(headers), "file", "left")
+    place = {f.name: f"cast(array_position(names, '{f.name}') as int)" for f in schema.fields}
+    rows = rows.withColumns({f"raw_{f.name}": F.expr(f"v[{place[f.name]} - 1]") for f in schema.fields})
+    rows = rows.withColumns({f"val_{f.name}": F.expr(f"try_cast(raw_{f.name} as {f.dataType.simpleString()})") for f in schema.fields})
+    bad = ", ".join(f"if(raw_{f.name} is not null and val_{f.name} is null, struct('{f.name}' as column, raw_{f.name} as raw), null)" for f in schema.fields)
+    rows = rows.withColumn("bad", F.expr(f"if(names is null, array(struct('' as column, cast(null as string) as raw)), array_compact(array({bad})))"))
+    accepted = rows.where(F.size("bad") == 0).select(*[F.col(f"val_{f.name}").alias(f.name) for f in schema.fields])
+    record = F.array_join(F.expr("slice(v, 1, greatest(array_size(array_compact(v)), coalesce(array_size(array_compact(names)), 0)))"), ",", "NA")
+    rejected = rows.where(F.size("bad") > 0).select("file", record.alias("record"), F.explode("bad").alias("b")).select("file", "record", "b.column", "b.raw")
+    return accepted, rejected
+
+
 def attach_key(df: DataFrame, name: str = "draw") -> DataFrame:
     """Number the rows from 0 in the order of all their columns.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from latencylab.operators import bootstrap, contrasts
 from latencylab.operators.contrasts import COHORTS, Design
 from latencylab.operators.sizing import checkpoint_dir
+from latencylab.sources.results import input_stamp
 
 LINE_KEY = "concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 LONG_TEXT = 1500  # characters from which a judge says yes
@@ -73,17 +74,18 @@ def all_cells() -> list[str]:
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A draw table written once per application to the shared folder and read from there.
+    """A draw table written to the shared folder and read from there; built again when its input's files change.
 
     Draw tables are stored results that many reports read; parquet lets each read only its columns.
     """
     made = _written.setdefault(spark.sparkContext.applicationId, {})
-    if (sf_dir, name) not in made:
+    stamp = input_stamp(spark, f"{sf_dir}/lineitem.parquet")
+    if (sf_dir, name) not in made or made[sf_dir, name][0] != stamp:
         path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df = build()
         df.write.parquet(path)
-        made[sf_dir, name] = (path, df.schema)
-    path, schema = made[sf_dir, name]
+        made[sf_dir, name] = (stamp, path, df.schema)
+    _, path, schema = made[sf_dir, name]
     return spark.read.schema(schema).parquet(path)
 
 

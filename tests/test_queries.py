@@ -13,12 +13,12 @@ SELECTION = [
     "pooled_summary", "rope_share_by_effect", "accuracy_summary", "nested_effect_report", "format_p", "decode_7block",
     "q1_cohort_description", "q3_transfer_slowdown", "q8_cohort_effects_table", "q10_group_effects_v2",
     "q12_effect_sizes_v3", "q16_hit_rates", "q17_sdt_table", "contrast_regression", "partial_pooling", "rhat",
-    "predictive_bars", "shift_ml", "sigma_by_group",
+    "predictive_bars", "shift_ml", "sigma_by_group", "source_rejects", "source_draws",
 ]
-# fits that solve equations round by round; tested against direct solutions in test_mixed.py and test_predictive.py
+# fits that solve equations round by round; tested against direct solutions in test_mixed.py, test_predictive.py and test_sketches_diagnostics.py
 ITERATIVE = {
     "crossed_effects", "crossed_effects_subjects", "sdt_hierarchical", "predictive_loo_pit", "bayes_factor_spline",
-    "bayes_factor_spline_inverse",
+    "bayes_factor_spline_inverse", "chain_diagnostics",
 }
 NAMES = list(entry.oracle_sql()) if os.environ.get("TEST_ALL_QUERIES") else SELECTION
 

@@ -28,29 +28,19 @@ def test_partitioned_parquet_and_judgements(spark, tmp_path):
 
 
 def test_every_cleaned_line_counts_in_a_draw(spark, sf_dir):
+    from latencylab.operators import bootstrap
     from latencylab.sources import warehouse as WH
 
     d = WH.cell_draws(spark, sf_dir)
-    assert d.select("draw").distinct().count() == d.count() == WH.DRAWS
-    assert d.dropna().count() == d.count() and len(d.columns) == 44
+    assert d.select("draw").distinct().count() == d.count() == bootstrap.REPLICATES
+    assert d.dropna().count() == d.count() and len(d.columns) == 46
     lines = WH.table(spark, sf_dir, "lineitem").where(WH.CLEAN_ON_STORED)
     cells = lines.selectExpr(
         f"concat_ws('_', {WH.COHORT_OF_STATUS}, {WH.DEPENDENCY_OF_FLAG}, l_linenumber) as cell", "ln(l_extendedprice / 10) as value"
-    ).groupBy("cell").agg({"value": "sum", "*": "count"}).collect()
-    wide = [r.asDict() for r in d.orderBy("draw").collect()]
+    ).groupBy("cell").agg({"value": "avg"}).collect()
+    mean = d.agg({c: "avg" for c in WH.all_cells()}).first()
     for r in cells:
-        n = r["count(1)"]
-        # lines are dealt out in turn, so the first n % DRAWS draws have one line more
-        sizes = [n // WH.DRAWS + (k < n % WH.DRAWS) for k in range(WH.DRAWS)]
-        assert sum(sizes) == n
-        assert sum(w[r["cell"]] * m for w, m in zip(wide, sizes)) == pytest.approx(r["sum(value)"], rel=1e-9)
-
-
-def test_a_cell_with_too_few_lines_is_an_error(spark, sf_dir):
-    from latencylab.sources import warehouse as WH
-
-    with pytest.raises(ValueError, match="fewer than 100000 lines"):
-        WH._build_cell_draws(spark, sf_dir, draws=100_000)
+        assert mean[f"avg({r['cell']})"] == pytest.approx(r["avg(value)"], abs=0.01)
 
 
 def test_files_with_further_columns_and_no_key(spark, tmp_path):
@@ -91,3 +81,65 @@ def test_clean_on_stored_columns_is_the_same_filter(spark, sf_dir):
     assert stored.count() == clean_trials(WH.trials(spark, sf_dir)).count()
     pushed = stored._jdf.queryExecution().toString().split("PushedFilters:")[1]
     assert "GreaterThan(l_quantity,2.0)" in pushed
+
+
+def test_rejected_values_and_mixed_headers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("subj,item,dependency,expected,given,acc\ns1,1,en,k,k,1\ns1,2,en,k,d,no\nsubj,item,dependency,expected,given,acc\ns2,NA,,k,k,0\n")
+    (folder / "b.csv").write_text("acc,note,given,expected,dependency,item,subj\n1,x,k,k,de,7,s3\n1.5,x,k,k,de,8,s3\n0\n")
+    (folder / "c.csv").write_text("1,2,3\n4,5,6\n")
+    accepted, rejected = files.read_folder(spark, str(folder), schemas.JUDGEMENTS)
+    good = sorted((tuple(r) for r in accepted.collect()), key=str)
+    assert good == sorted([("s1", "1", "en", "k", "k", 1), ("s2", None, None, "k", "k", 0), ("s3", "7", "de", "k", "k", 1), (None, None, None, None, None, 0)], key=str)
+    bad = {(r["file"].rsplit("/", 1)[1], r["column"], r["raw"], r["record"]) for r in rejected.collect()}
+    assert bad == {
+        ("a.csv", "acc", "no", "s1,2,en,k,d,no"), ("b.csv", "acc", "1.5", "1.5,x,k,k,de,8,s3"),
+        ("c.csv", "", None, "1,2,3"), ("c.csv", "", None, "4,5,6"),
+    }
+
+
+def test_refresh_rebuilds_changed_partitions_only(spark, tmp_path):
+    from latencylab.sources import results
+
+    path = str(tmp_path / "result")
+    rows = [(b, i, float(i)) for b in (1, 2, 3) for i in range(10)]
+    table = lambda rs: spark.createDataFrame(rs, "block int, i int, v double").repartition(3)
+    built = []
+
+    def build(part):
+        built.append(sorted(r["block"] for r in part.select("block").distinct().collect()))
+        return part.groupBy("block").agg({"v": "sum"}).toDF("block", "total")
+
+    def now():
+        return {r["block"]: (r["total"], r["_version"]) for r in results.read(spark, path, ["block"], versions=True).collect()}
+
+    with pytest.raises(ValueError, match="nothing"):
+        results.read(spark, path, ["block"])
+    assert results.refresh(path, table(rows), ["block"], build) == 3 and now() == {b: (45.0, 1) for b in (1, 2, 3)}
+    assert results.refresh(path, table(rows[::-1]), ["block"], build) == 0 and len(built) == 1  # order does not matter
+    changed = [(b, i, v + (b == 2)) for b, i, v in rows if b != 3] + [(4, 0, None)]
+    assert results.refresh(path, table(changed), ["block"], build) == 2 and built[-1] == [2, 4]
+    assert now() == {1: (45.0, 1), 2: (55.0, 2), 4: (None, 2)}
+
+    def fails(part):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        results.refresh(path, table(rows), ["block"], fails)
+    assert now() == {1: (45.0, 1), 2: (55.0, 2), 4: (None, 2)}
+    assert results.refresh(path, table([r for r in changed if r[0] == 1]), ["block"], build) == 0 and now() == {1: (45.0, 1)}
+
+
+def test_draw_tables_follow_their_input(spark, tmp_path, sf_dir):
+    import shutil
+
+    from latencylab.sources import warehouse
+
+    shutil.copy(f"{sf_dir}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    first = warehouse.cell_draws(spark, str(tmp_path)).agg({"adults_none_1": "avg"}).first()[0]
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    table.where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "half"))
+    half = next(p for p in (tmp_path / "half").iterdir() if p.name.startswith("part-"))
+    shutil.copy(half, tmp_path / "lineitem.parquet")
+    assert warehouse.cell_draws(spark, str(tmp_path)).agg({"adults_none_1": "avg"}).first()[0] != first
