@@ -11,8 +11,6 @@ from latencylab.operators.sizing import cut_lineage
 # Response-time bounds in ms, exclusive.
 RT_LOW, RT_HIGH = 100.0, 10_000.0
 
-WINDOW_ROWS = 1_000_000  # most rows with one value that a window numbers directly
-
 
 def clean_trials(df: DataFrame, rt_range: tuple[float, float] | None = (RT_LOW, RT_HIGH)) -> DataFrame:
     """Correct responses inside the RT bounds that belong to one dependency and do not start it."""
@@ -48,62 +46,36 @@ def relabel(column: str, labels: dict[str, str]):
     return out
 
 
-def dense_ids(df: DataFrame, columns: list[str], name: str, prefix: int) -> DataFrame:
-    """Distinct key tuples with a dense 1-based id in the sort order of the joined text.
-
-    Keys are ranked inside buckets sharing their first ``prefix`` characters and shifted by the sizes of
-    the buckets before; only the bucket sizes are ranked as a whole.
-    """
+def dense_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Distinct key tuples with a dense 1-based id in the sort order of the joined text."""
     text = "concat_ws(' ', " + ", ".join(f"cast(`{c}` as string)" for c in columns) + ")"
     keys = df.select(*columns).distinct().selectExpr("*", f"{text} as _key")
-    keys = keys.selectExpr("*", f"substring(_key, 1, {prefix}) as _bucket")
-    sizes = keys.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = "over (order by _bucket rows between unbounded preceding and 1 preceding)"
-    offsets = sizes.selectExpr("_bucket", f"coalesce(sum(_size) {before}, 0L) as _skip")
-    ranked = keys.selectExpr("*", "row_number() over (partition by _bucket order by _key) as _rank")
-    return ranked.join(offsets, "_bucket").selectExpr(*columns, f"_skip + _rank as `{name}`")
+    return ordinal_within(keys, [], ["_key", *columns], name).drop("_key")
 
 
-def with_dense_ids(df: DataFrame, columns: list[str], name: str, prefix: int) -> DataFrame:
+def with_dense_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """The rows with the dense id of their key; the ids are joined by broadcast only if counted small."""
-    return join_lookup(df, dense_ids(df, columns, name, prefix), columns)
-
-
-def ordinal_within(
-    df: DataFrame,
-    by: list[str],
-    order: list[str],
-    name: str = "ordinal",
-    steps: dict[str, float] | None = None,
-    limit: int = WINDOW_ROWS,
-) -> DataFrame:
-    """Running number per group in the order of numeric columns, NULLs first; rows equal in all of them in any order.
-
-    No window holds a whole group: values of the first order column are counted, the counts summed up in
-    steps of that column, and rows numbered only among equals.  If more than ``limit`` rows share a value,
-    the next order column splits them the same way.
+    return join_lookup(df, dense_ids(df, columns, name), columns)
+
+
+def ordinal_within(df: DataFrame, by: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Running number per group in the order of some columns, NULLs first; rows equal in all of them in any order.
+
+    Rows are dealt into ranges of group and order columns, numbered inside their range, and shifted by the sizes of
+    the group's ranges before, so no window holds a group or a value: rows that are alike are spread by a number of
+    their own.  The ranges are stored first, since their borders are sampled; only their sizes are ordered as a whole.
     """
-    lead, rest = order[0], order[1:]
-    keys = ", ".join(f"`{b}`" for b in by)
-    step = float((steps or {}).get(lead, 1.0))
-    sizes = df.groupBy(*by, lead).agg(F.count("*").alias("_size"))
-    # used twice below; a row for each value
-    sizes = cut_lineage(sizes.selectExpr("*", f"cast(floor(`{lead}` / {step!r}D) as bigint) as _step"))
-    before = "rows between unbounded preceding and 1 preceding"
-    per_step = sizes.groupBy(*by, "_step").agg(F.sum("_size").alias("_step_size"))
-    per_step = per_step.selectExpr(
-        *by, "_step", f"coalesce(sum(_step_size) over (partition by {keys} order by _step {before}), 0L) as _skip"
-    )
-    inside = f"over (partition by {keys}, _step order by `{lead}` {before})"
-    skips = _join_null_safe(sizes, per_step, [*by, "_step"]).selectExpr(
-        *by, lead, f"_skip + coalesce(sum(_size) {inside}, 0L) as _skip"
-    )
-    if rest and (sizes.agg(F.max("_size")).first()[0] or 0) > limit:
-        ranked = ordinal_within(df, [*by, lead], rest, "_rank", steps, limit)
-    else:
-        ties = ", ".join(f"`{c}`" for c in (rest or [lead]))
-        ranked = df.selectExpr("*", f"row_number() over (partition by {keys}, `{lead}` order by {ties}) as _rank")
-    return _join_null_safe(ranked, skips, [*by, lead]).selectExpr(*[f"`{c}`" for c in df.columns], f"_skip + _rank as `{name}`")
+    keys = [F.col(f"`{c}`") for c in (*by, *order)]
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    ranged = cut_lineage(salted.repartitionByRange(*keys, "_salt").withColumn("_part", F.spark_partition_id()))
+    group = "".join(f"`{b}`, " for b in by)
+    before = f"over ({'partition by ' + group.removesuffix(', ') if by else ''} order by _part rows between unbounded preceding and 1 preceding)"
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_size"))  # a row for each range, and one more for each group
+    skips = sizes.selectExpr(*[f"`{b}`" for b in by], "_part", f"coalesce(sum(_size) {before}, 0L) as _skip")
+    places = ", ".join(f"`{c}`" for c in order)
+    ranked = ranged.selectExpr("*", f"row_number() over (partition by {group}_part order by {places}, _salt) as _rank")
+    joined = _join_null_safe(ranked, skips, [*by, "_part"])
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], f"_skip + _rank as `{name}`")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -108,12 +108,12 @@ def ordered_levels(spark, sf):
 
 @query
 def subject_dense_id(spark, sf):
-    return TR.dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id", prefix=11)
+    return TR.dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id")
 
 
 @query
 def trials_by_dense_id(spark, sf):
-    t = TR.with_dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id", prefix=11)
+    t = TR.with_dense_ids(WH.trials(spark, sf), ["group", "subj"], "subj_id")
     return t.groupBy("subj_id", "group").agg(F.count("*").alias("n"), F.expr("min(rt)").alias("min_rt"))
 
 
@@ -153,7 +153,7 @@ def zscore_trial(spark, sf):
 @query
 def row_ordinal(spark, sf):
     t = clean(spark, sf).select("group", "block", "rt", "subj", "stim", "trial_in_block")
-    return TR.ordinal_within(t, ["group", "block"], ["rt", "subj", "stim", "trial_in_block"], steps={"rt": 100.0, "subj": 50.0})
+    return TR.ordinal_within(t, ["group", "block"], ["rt", "subj", "stim", "trial_in_block"])
 
 
 @query
