@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,7 +29,8 @@ from latencylab.llm.shared import SLICE_ROWS, arrow_schema, map_arrow, only, sto
 CONSTANT = 0.9  # share of matched pages with equal text that makes a node template
 FEWEST_PAGES = 10  # other pages a node must be matched in before it can be template
 SLOT_SHARE = 0.6  # share of the varying text that draws the slot into a child
-DEEPEST = 200  # elements nested deeper become siblings
+SHORT = 24  # siblings up to which a row is worked out one by one
+WHOLE_TABLE = 4_000_000  # cells of a matching table that is kept; larger ones are halved and worked out again
 BROADCAST_BYTES = 8 << 20
 
 # HTML element names by role.
@@ -105,6 +107,13 @@ def dom(page: str) -> Node:
     """A lenient DOM tree; texts are kept with their character references."""
     root = Node("#root")
     stack, at, size = [root], 0, len(page)
+    opened: dict[str, int] = {}  # elements on the stack by tag
+
+    def close(k: int):
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -120,10 +129,8 @@ def dom(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         ends, stops = IMPLIED_END.get(tag, (None, None))
         if tag in BLOCKS and tag not in ("html", "body"):
@@ -131,7 +138,7 @@ def dom(page: str) -> Node:
         if ends:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in stops:
                     break
@@ -143,8 +150,8 @@ def dom(page: str) -> Node:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             node.kids.append(page[at:end.start() if end else size])
             at = end.start() if end else size
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -160,55 +167,141 @@ def numbered(root: Node) -> list[Node]:
 
 
 class Matching:
-    """Simple tree matching: the largest order-preserving match of two trees whose matched nodes' parents match."""
+    """Simple tree matching: the largest order-preserving match of two trees whose matched nodes' parents match.
+
+    Subtrees of equal shape (labels and order) get one number, so a size is worked out once for two shapes, and
+    equal shapes match node by node.  Children of equal shape at either end of two lists always belong to a largest
+    match; only what is between them needs a table, a row at a time; its halves are found again if it is large.
+    """
 
     def __init__(self):
-        self.tables: dict[tuple[int, int], list] = {}
-
-    def size(self, a: Node, b: Node) -> int:
-        if a.label != b.label:
-            return 0
-        left, right = a.elements(), b.elements()
-        if not left or not right:
-            return 1
-        key = id(a), id(b)
-        table = self.tables.get(key)
-        if table is None:
-            rows = [[0] * (len(right) + 1)]
+        self.shapes: dict[tuple, int] = {}
+        self.nodes: list[int] = []  # nodes of a shape
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.of: dict[int, int] = {}
+
+    def shape(self, root: Node) -> int:
+        """Number of the tree's shape; those of all its nodes are kept."""
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.elements())
+        for node in reversed(order):
+            kids = tuple([self.of[id(k)] for k in node.elements()])
+            key = node.label, kids
+            number = self.shapes.get(key)
+            if number is None:
+                number = self.shapes[key] = len(self.nodes)
+                self.nodes.append(1 + sum(self.nodes[k] for k in kids))
+                self.labels.append(node.label)
+                self.kids.append(kids)
+            self.of[id(node)] = number
+        return self.of[id(root)]
+
+    @staticmethod
+    def ends(left, right) -> tuple[int, int]:
+        """How many entries two lists have in common at their start, and then at their end."""
+        most = min(len(left), len(right))
+        head = next((i for i in range(most) if left[i] != right[i]), most)
+        tail = next((i for i in range(most - head) if left[-1 - i] != right[-1 - i]), most - head)
+        return head, tail
+
+    def size(self, a: int, b: int) -> int:
+        """Matched nodes of two shapes; inner pairs are worked out first, without recursion."""
+        todo = [(a, b)]
+        while todo:
+            a, b = pair = todo[-1]
+            if pair in self.sizes:
+                todo.pop()
+            elif a == b or self.labels[a] != self.labels[b] or not self.kids[a] or not self.kids[b]:
+                self.sizes[pair] = self.nodes[a] if a == b else int(self.labels[a] == self.labels[b])
+                todo.pop()
+            else:
+                left, right, head, tail = self._between(a, b)
+                first, second = set(left), set(right)
+                missing = [(x, y) for x in first for y in second if (x, y) not in self.sizes]
+                if missing:
+                    todo.extend(missing)
+                    continue
+                ends = [*self.kids[a][:head], *self.kids[a][len(self.kids[a]) - tail:]]
+                middle = int(self._row(left, right)[-1]) if left and right else 0
+                self.sizes[pair] = 1 + sum(self.nodes[k] for k in ends) + middle
+                todo.pop()
+        return self.sizes[a, b]
+
+    def _between(self, a: int, b: int):
+        left, right = self.kids[a], self.kids[b]
+        head, tail = self.ends(left, right)
+        return left[head:len(left) - tail], right[head:len(right) - tail], head, tail
+
+    def _weights(self, left, right) -> dict[int, np.ndarray]:
+        """Sizes of each different shape on the left against the list on the right."""
+        return {x: np.array([self.sizes[x, y] for y in right], np.int64) for x in set(left)}
+
+    def _row(self, left, right) -> np.ndarray:
+        """Largest sums of matches of the whole left list with each start of the right one."""
+        if len(right) < SHORT:
+            sizes, plain = self.sizes, [0] * (len(right) + 1)
             for x in left:
-                above, row, best = rows[-1], [0], 0
-                label, bare = x.label, not any(type(k) is Node for k in x.kids)
-                for j, y in enumerate(right):
-                    if above[j + 1] > best:
-                        best = above[j + 1]
-                    if label == y.label:
-                        w = above[j] + (1 if bare else self.size(x, y))
-                        if w > best:
-                            best = w
-                    row.append(best)
-                rows.append(row)
-            table = self.tables[key] = rows
-        return table[-1][-1] + 1
+                corner = 0
+                for j, y in enumerate(right, 1):
+                    corner, plain[j] = plain[j], max(plain[j], plain[j - 1], corner + sizes[x, y])
+            return np.array(plain)
+        weights, row = self._weights(left, right), np.zeros(len(right) + 1, np.int64)
+        for x in left:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x]))
+        return row
+
+    def _matched(self, left, right) -> list[tuple[int, int]]:
+        """Places of a largest sum of matches between two lists."""
+        found, todo = [], [(0, len(left), 0, len(right))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            a, b = left[i0:i1], right[j0:j1]
+            if len(a) > 1 and len(a) * len(b) > WHOLE_TABLE:
+                half = len(a) // 2
+                cut = int(np.argmax(self._row(a[:half], b) + self._row(a[half:][::-1], b[::-1])[::-1]))
+                todo += [(i0, i0 + half, j0, j0 + cut), (i0 + half, i1, j0 + cut, j1)]
+                continue
+            weights, rows = self._weights(a, b), np.zeros((len(a) + 1, len(b) + 1), np.int64)
+            for i, x in enumerate(a):
+                rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + weights[x]))
+            i, j = len(a), len(b)
+            while i and j:
+                w = weights[a[i - 1]][j - 1]
+                if w and rows[i, j] == rows[i - 1, j - 1] + w:
+                    i, j = i - 1, j - 1
+                    found.append((i0 + i, j0 + j))
+                elif rows[i, j] == rows[i - 1, j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return found
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """Matched nodes of two trees with equal root labels."""
+        self.size(self.shape(a), self.shape(b))
         found, todo = [], [(a, b)]
         while todo:
             a, b = todo.pop()
             found.append((a, b))
-            if self.size(a, b) == 1:
+            x, y = self.of[id(a)], self.of[id(b)]
+            left, right = a.elements(), b.elements()
+            if x == y:
+                todo.extend(zip(left, right))
                 continue
-            left, right, rows = a.elements(), b.elements(), self.tables[id(a), id(b)]
-            i, j = len(left), len(right)
-            while i and j:
-                w = self.size(left[i - 1], right[j - 1])
-                if w and rows[i][j] == rows[i - 1][j - 1] + w:
-                    i, j = i - 1, j - 1
-                    todo.append((left[i], right[j]))
-                elif rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
+            if not left or not right:
+                continue
+            self.size(x, y)
+            inner, outer, head, tail = self._between(x, y)
+            todo.extend(zip(left[:head], right[:head]))
+            todo.extend(zip(left[len(left) - tail:], right[len(right) - tail:]))
+            todo.extend((left[head + i], right[head + j]) for i, j in self._matched(inner, outer))
         return found
 
 
@@ -354,7 +447,8 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, reference, template, slot`` for each host of ``id, host, html``, learnt from all its pages."""
     sized = pages.select("id", "host", F.length("html").alias("size")).where("size > 0")
-    median = stored(sized.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("median")), "median-sizes")
+    counted = sized.groupBy("host", "size").agg(F.count("*").alias("n"))
+    median = stored(counted.groupBy("host").agg(F.expr("percentile(size, 0.5, n) as median")), "median-sizes")  # exact
     # maxima of salted parts first, so that the join of a hot host may be split
     near = sized.join(median, "host").where("size <= median").groupBy("host", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     near = near.agg(F.max(F.struct("size", (-F.col("id")).alias("back"))).alias("best")).groupBy("host").agg(F.max("best").alias("best"))

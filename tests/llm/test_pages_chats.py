@@ -64,10 +64,95 @@ def test_matching_counts_common_nodes():
     a, b = (wrappers.dom(x) for x in ("<div><p>x</p><ul><li>1<li>2</ul></div>", "<div><h1>t</h1><p>y</p><ul><li>1</ul><p>z</p></div>"))
     wrappers.numbered(a), wrappers.numbered(b)
     pairs = wrappers.Matching().pairs(a, b)
-    assert wrappers.Matching().size(a, b) == len(pairs) == 5
+    matching = wrappers.Matching()
+    assert matching.size(matching.shape(a), matching.shape(b)) == len(pairs) == 5
     assert all(x.label == y.label for x, y in pairs)
 
 
+def naive_size(a, b):
+    """Simple tree matching as it is defined, by recursion over all prefixes."""
+    if a.label != b.label:
+        return 0
+    left, right = a.elements(), b.elements()
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + naive_size(x, y))
+    return best[-1][-1] + 1
+
+
+def random_tree(rnd, depth):
+    node = wrappers.Node(rnd.choice("ab"))
+    if depth:
+        node.kids = [random_tree(rnd, depth - 1) for _ in range(rnd.randint(0, 4))]
+    return node
+
+
+@pytest.mark.parametrize("cells", [1, 4_000_000])
+def test_matching_is_the_largest_order_preserving_one(monkeypatch, cells):
+    import random
+
+    monkeypatch.setattr(wrappers, "WHOLE_TABLE", cells)
+    rnd = random.Random(cells)
+    for _ in range(150):
+        a, b = random_tree(rnd, 3), random_tree(rnd, 3)
+        b.tag = b.label = a.label
+        pairs = wrappers.Matching().pairs(a, b)
+        assert len(pairs) == naive_size(a, b)
+        parent = {id(k): n for t in (a, b) for n in wrappers.numbered(t) for k in n.elements()}
+        partner = {id(x): y for x, y in pairs}
+        assert len(partner) == len({id(y) for _, y in pairs}) == len(pairs)
+        for x, y in pairs:
+            assert x.label == y.label and (x is a or partner[id(parent[id(x)])] is parent[id(y)])
+        order = sorted(pairs, key=lambda p: p[0].number)
+        for n in wrappers.numbered(a):
+            mine = [partner[id(k)].number for k in n.elements() if id(k) in partner]
+            assert mine == sorted(mine)
+        assert order[0] == (a, b)
+
+
+def test_long_and_deep_pages():
+    import time
+
+    many = "<div>" + "<p>x</p><p>y <b>z</b></p>" * 15_000 + "</div>"
+    other = "<div><h1>t</h1>" + "<p>x <b>q</b></p><p>w</p>" * 15_000 + "</div>"
+    began = time.time()
+    a, b = wrappers.dom(many), wrappers.dom(other)
+    wrappers.numbered(a), wrappers.numbered(b)
+    assert len(wrappers.Matching().pairs(a, b)) > 44_990
+    assert time.time() - began < 60
+    deep = "<div>" * 20_000 + "<nav>MENU</nav><p>text</p>" + "</div>" * 20_000 + "<p>after</p>"
+    assert wrappers.main_text(deep, None, [], -1) == "text\n\nafter"
+    root = wrappers.dom(deep)
+    wrappers.numbered(root)
+    assert wrappers.main_text(deep, root, [], 0) == "text\n\nafter"
+
+
+def test_wrapper_decides_without_telling_tags_and_names(spark, sf_dir):
+    """The given pages with their menus, adverts, articles and footers as divs of meaningless names."""
+    import re
+
+    import duckdb
+
+    rows = duckdb.sql(f"select page_id, url, html from '{sf_dir}/pages.parquet'").fetchall()
+    tag = {"nav": "k1", "article": "q7", "footer": "z3"}
+
+    def disguised(page):
+        page = (page or "").replace('class="ad"', 'class="m5"')
+        for name, label in tag.items():
+            page = re.sub(f"<{name}>", f'<div class="{label}">', page).replace(f"</{name}>", "</div>")
+        return page
+
+    # one host, so that there is enough to compare
+    plain = spark.createDataFrame([(i, "http://one.example/", h) for i, _, h in rows], "page_id bigint, url string, html string")
+    hidden = spark.createDataFrame([(i, "http://one.example/", disguised(h)) for i, _, h in rows], plain.schema)
+    want = {r["id"]: r["text"] for r in wrappers.extract(plain).collect()}
+    got = {r["id"]: r["text"] for r in wrappers.extract(hidden).collect()}
+    alone = {i: wrappers.main_text(disguised(h), None, [], -1) for i, _, h in rows}
+    assert got == want
+    assert sum(alone[i] != want[i] for i in want) > 0.9 * len(want)  # tags and names alone print menus and adverts
+
+
 def test_wrapper_learns_slot_and_template(spark):
     plain = "<html><body><div><span>Brand line</span></div><div><p>Same intro</p><p>Text {n} of its own {n}</p><p>More {n}</p></div><div>Fixed end</div></body></html>"
     rows = [(i, f"http://one.example/{i}", plain.replace("{n}", f"no{i}"), 0) for i in range(20)]
