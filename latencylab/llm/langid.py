@@ -5,8 +5,8 @@ start; white space, digits and punctuation are skipped.  Per order it holds one
 hashes with interpolated log-probabilities and one of context hashes with log back-off weights.  A text gets the
 language of lowest cross-entropy per symbol.
 
-Training: of the labelled rows, the first ``TRAIN_DOCS`` of each language in the order of a hash of their id, as
-far as they stay within ``TRAIN_CHARS`` characters, whole texts; every fourth of them calibrates instead:  the
+Training: of the labelled rows, about ``TRAIN_DOCS`` of each language by a hash of id and text, and not more than about
+``TRAIN_CHARS`` characters, whole texts; about every fourth of them calibrates instead:  the
 sharpness that turns gaps of cross-entropy into a score, and per language the bound above which a text is
 rejected.  Both limits are parameters; they also bound the models, which are broadcast.
 
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from latencylab.llm.shared import SLICE_ROWS, arrow_schema, held, map_arrow, only, per_batch, ship_package, stored
 
@@ -33,7 +33,6 @@ TRAIN_CHARS = 3_000_000  # characters per language
 MODEL_BYTES = 256 << 20  # of all languages together
 REJECT_MARGIN = 1.5  # times the widest deviation seen in calibration
 UNSEEN_SHARE = 0.9  # of the entropy of unknown symbols; a text that reaches it is as good as unknown
-SALTS = 64  # groups in which a language's rows are ranked first
 SETTLED = 400  # symbols beyond which a text's entropy is not expected to come closer to the mean
 CHUNKS = 200_000
 LONGEST = 200  # characters of a chunk without white space; longer ones are cut
@@ -188,23 +187,21 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 
 
 def sample(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """``id, text, lang, calibrates`` of the rows to learn from; only ids, lengths and checksums are ranked.
+    """``id, text, lang, calibrates`` of the rows to learn from: those whose hash is below a share of its range.
 
-    A row is told by id, language and a checksum of its text, so an id with many texts is not taken as a whole, and
-    rows listed again count once.
+    The share of a language follows from its counts, so that about ``docs`` rows and ``chars`` characters are expected
+    at most; nothing is ranked.  A row is told by id, language and a checksum of its text: an id with many texts is not
+    taken as a whole, and rows listed again count once.
     """
     key = ["id", "lang", "tag"]
-    order = Window.partitionBy("lang").orderBy("rank", *key)
     light = labelled.select("id", "lang", F.xxhash64("text").alias("tag"), F.length("text").alias("size")).where("size > 0")
-    light = light.groupBy(*key).agg(F.first("size").alias("size")).withColumn("rank", F.xxhash64("id", "tag"))
-    # the first of each salt, then the first of all: a language of most rows is not ranked by one task
-    salted = Window.partitionBy("lang", F.pmod("rank", F.lit(SALTS))).orderBy("rank", *key)
-    light = light.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= docs)
-    first = light.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    first = first.withColumn("before", F.coalesce(before, F.lit(0)))
-    chosen = first.where(F.col("before") + F.col("size") <= chars)
-    chosen = stored(chosen.select(*key, (F.col("k") % 4 == 0).alias("calibrates")), "language-sample")
+    light = light.groupBy(*key).agg(F.first("size").alias("size"))
+    totals = light.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    share = totals.select("lang", F.least(F.lit(1.0), docs / F.col("n"), chars / F.col("total")).alias("share"))
+    drawn = light.withColumn("hash", F.xxhash64("id", "tag")).join(share, "lang")
+    chosen = drawn.where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    calibrates = F.pmod(F.shiftright("hash", 32), F.lit(4)) == 0
+    chosen = stored(chosen.select(*key, calibrates.alias("calibrates")), "language-sample")
     if chosen.count() <= 200_000:
         chosen = F.broadcast(chosen)
     rows = labelled.where(F.length("text") > 0).withColumn("tag", F.xxhash64("text")).join(chosen, key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -72,11 +74,23 @@ def held(key: tuple, make: Callable):
     never add up.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def per_batch(
     df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], rows: int = SLICE_ROWS
 ) -> DataFrame:
