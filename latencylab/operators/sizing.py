@@ -60,12 +60,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> bool:
+    """Remove what this application has stored; tables that still read from it can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate to the checkpoint folder and read it from there.
 
     Several branches then read the stored rows instead of recomputing them, and plans stay short.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -559,8 +559,8 @@ def oracle_sql() -> dict[str, str]:
         f"round(max(value) FILTER (effect = '{e}' AND \"group\" = '{g}'), 4) AS std_{e}_{g}" for e in ("learning", "transfer") for g in COHORTS) + " FROM diffs GROUP BY draw, dependency"
     out["separate_cell"] = W + CLEAN + ' SELECT "group", dependency, CAST(block AS VARCHAR) AS block, count(*) AS n, round(max(rt), 4) AS max_rt FROM clean GROUP BY ALL'
     out["unite_parameter"] = W + CLEAN + """ SELECT 'rt_' || "group" || '_' || dependency AS parameter, round(avg(rt), 4) AS mean, round(stddev_samp(rt), 4) AS sd FROM clean GROUP BY 1"""
-    out["join_sigma"] = W + log_differences(V3D, "mean") + """ SELECT draw, "group", dependency, round(value, 4) AS value FROM diffs WHERE effect = 'transfer'"""
-    out["natural_left_join"] = W + CLEAN + """, ms AS (SELECT dependency, avg(rt) AS mean, stddev_samp(rt) AS sd FROM clean WHERE dependency <> 'none' GROUP BY 1) SELECT a."group", a.dependency, a.n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM (SELECT "group", dependency, count(*) AS n FROM clean GROUP BY ALL) a LEFT JOIN ms ON a.dependency = ms.dependency"""
+    out["join_sigma"] = W + log_differences(V3D, "mean") + """ SELECT draw, "group", dependency, effect, round(value, 4) AS value FROM diffs"""
+    out["natural_left_join"] = W + CLEAN + """, ms AS (SELECT dependency, avg(rt) AS mean, stddev_samp(rt) AS sd FROM clean GROUP BY 1) SELECT a."group", a.dependency, a.n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM (SELECT "group", dependency, count(*) AS n FROM trials GROUP BY ALL) a LEFT JOIN ms ON a.dependency = ms.dependency"""
 
     out["kde_mode"] = W + CELLS + f", msr AS (SELECT {ck}, exp(value) AS value FROM cell), {mode('m', 'msr', CELL)} SELECT {ck}, n, round(mode, 4) AS mode FROM m JOIN m_s USING ({ck})"
     out["median_by_cell"] = W + CLEAN + f" SELECT {ck}, count(*) AS n, round(median(rt), 4) AS median FROM clean GROUP BY ALL"
@@ -721,8 +721,10 @@ SELECT block, dependency, round(avg(rt), 4) AS mean, round(stddev_samp(rt), 4) A
 SELECT dependency, is_dep, round(median(value), 6) AS estimate, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM e GROUP BY 1, 2"""
     out["trials_by_dense_id"] = W + TRIALS + """, t AS (SELECT *, dense_rank() OVER (ORDER BY "group" || ' ' || subj) AS subj_id FROM trials)
 SELECT subj_id, "group", count(*) AS n, round(min(rt), 4) AS min_rt FROM t GROUP BY 1, 2"""
-    out["rename_by_position"] = W + params7() + """ SELECT draw AS k, "group" AS cohort, round(max(value) FILTER (parameter = 'b_Intercept'), 4) AS "Intercept",
-round(max(value) FILTER (parameter = 'b_CONDDependency'), 4) AS "Dependency", round(max(value) FILTER (parameter = 'b_CONDAdjacency'), 4) AS "Adjacency" FROM params GROUP BY 1, 2"""
+    seven = C.design("seven_block")
+    named = {p: p.removeprefix("b_").removeprefix("COND") for p in ("b_Intercept", *seven.parameters, "b_ndt_Intercept", "b_scaletrial_in_block")}
+    renamed = ", ".join(f"round(max(value) FILTER (parameter = '{p}'), 4) AS \"{n}\"" for p, n in named.items())
+    out["rename_by_position"] = W + params7() + f' SELECT draw AS k, CAST(draw % 3 AS INTEGER) AS "set", "group" AS cohort, {renamed} FROM params GROUP BY draw, "group"'
     out["draw_subset_negated"] = W + params7() + """ SELECT "group", parameter, count(*) AS n, round(avg(value), 4) AS mean FROM params
 WHERE parameter NOT IN ('b_Intercept', 'b_ndt_Intercept') AND NOT regexp_matches(parameter, 'Block') GROUP BY 1, 2"""
     out["draw_subset"] = W + params7() + """ SELECT "group", count(DISTINCT parameter) AS n_parameters, count(*) AS n, round(avg(value), 4) AS mean FROM params WHERE parameter IN ('b_Intercept', 'b_CONDDependency', 'b_CONDAdjacency') GROUP BY 1"""

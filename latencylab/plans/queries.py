@@ -13,7 +13,7 @@ from latencylab.operators import predictive as PR, reshape as R, sketches as K,
 from latencylab.operators.distributions import (
     ABOVE_ZERO, BELOW_ZERO, HDI89, HPDI95, Tail, rope_share, summarise,
 )
-from latencylab.operators.sizing import checkpoint_dir
+from latencylab.operators.sizing import run_folder
 from latencylab.plans import reports as P
 from latencylab.sources import files as FS, results as RS, schemas, warehouse as WH
 
@@ -119,8 +119,9 @@ def trials_by_dense_id(spark, sf):
 
 @query
 def rename_by_position(spark, sf):
-    wide = WH.seven_block_draws(spark, sf).select("draw", "group", "b_Intercept", "b_CONDDependency", "b_CONDAdjacency")
-    return R.rename_in_order(wide, ["k", "cohort", "Intercept", "Dependency", "Adjacency"])
+    wide = params7(spark, sf)
+    keys = {"draw": "k", "chain": "set", "group": "cohort"}
+    return R.rename_in_order(wide, [keys.get(c, c.removeprefix("b_").removeprefix("COND")) for c in wide.columns])
 
 
 @query
@@ -177,7 +178,7 @@ def judgement_flags(spark, sf):
 # --- sources: written as files, read back --------------------------------------------------------
 
 def _folder(spark) -> str:
-    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 TRIAL_ORDER = [f.name for f in schemas.TRIALS.fields]
@@ -291,18 +292,20 @@ def unite_parameter(spark, sf):
 def join_sigma(spark, sf):
     p = WH.group_draws(spark, sf, V3)
     cells = C.decode_wide(p, V3)
-    diffs = [x for x in E.block_differences(V3) if dict(x.keys)["effect"] == "transfer"]
-    rows = cells.selectExpr("draw", "inline(array(" + ", ".join(f"struct('{x.group}' as `group`, '{dict(x.keys)['dependency']}' as dependency, {x.log()} as value)" for x in diffs) + "))")
+    entries = []
+    for x in E.block_differences(V3):
+        k = dict(x.keys)
+        entries.append(f"struct('{x.group}' as `group`, '{k['dependency']}' as dependency, '{k['effect']}' as effect, {x.log()} as value)")
+    rows = cells.selectExpr("draw", f"inline(array({', '.join(entries)}))")
     joined = R.join_lookup(rows, E.sigma_by_group(p, V3.groups), ["group"])
-    return joined.selectExpr("draw", "`group`", "dependency", "value / sigma as value")
+    return joined.selectExpr("draw", "`group`", "dependency", "effect", "value / sigma as value")
 
 
 @query
 def natural_left_join(spark, sf):
-    t = clean(spark, sf)
-    left = TR.level_counts(t, ["group", "dependency"])
-    right = TR.mean_sd(t.where("dependency != 'none'"), ["dependency"], "rt")
-    return R.natural_left_join(left, right)
+    """Levels of all trials beside means of the cleaned ones; the mixed level has none."""
+    left = TR.level_counts(WH.trials(spark, sf), ["group", "dependency"])
+    return R.natural_left_join(left, TR.mean_sd(clean(spark, sf), ["dependency"], "rt"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latencylab.operators import bootstrap, contrasts
 from latencylab.operators.contrasts import COHORTS, Design
-from latencylab.operators.sizing import checkpoint_dir
+from latencylab.operators.sizing import run_folder
 from latencylab.sources.results import input_stamp
 
 LINE_KEY = "concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
@@ -81,7 +81,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     made = _written.setdefault(spark.sparkContext.applicationId, {})
     stamp = input_stamp(spark, f"{sf_dir}/lineitem.parquet")
     if (sf_dir, name) not in made or made[sf_dir, name][0] != stamp:
-        path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df = build()
         df.write.parquet(path)
         made[sf_dir, name] = (stamp, path, df.schema)

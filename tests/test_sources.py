@@ -143,3 +143,14 @@ def test_draw_tables_follow_their_input(spark, tmp_path, sf_dir):
     half = next(p for p in (tmp_path / "half").iterdir() if p.name.startswith("part-"))
     shutil.copy(half, tmp_path / "lineitem.parquet")
     assert warehouse.cell_draws(spark, str(tmp_path)).agg({"adults_none_1": "avg"}).first()[0] != first
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from latencylab.operators import sizing
+
+    folder = sizing.run_folder(spark).removeprefix("file:")
+    held = sizing.cut_lineage(spark.range(5))
+    assert held.count() == 5 and any(f.startswith("step-") for f in os.listdir(folder))
+    assert spark.sparkContext.applicationId in folder
