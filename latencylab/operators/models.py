@@ -30,31 +30,47 @@ def shifted_lognormal_cells(trials: DataFrame, by=("group", "dependency", "block
 
 
 def contrast_regression(trials: DataFrame, d: C.Design, cell: str = "cell") -> DataFrame:
-    """Least squares of log RT on the hypothesis coding plus z-scored trial order.
+    """Least squares of log RT on the hypothesis coding plus z-scored trial order: ``term, estimate, se``.
 
     The coding has one column fewer than cells, so its normal equations reduce to sums per cell: the slope
     is the pooled within-cell one and the coefficients encode the adjusted cell means.  One pass over the
-    trials leaves a row per cell.
+    trials leaves a row per cell.  A coefficient that weights the cells by w has the variance
+    ``sigma^2 * sum(w^2 / n) + (sum(w * t))^2 * var(slope)``, with t the cell's mean trial order less the overall one.
     """
     x = trials.selectExpr(f"`{cell}` as _cell", "ln(rt) as y", "cast(trial_in_block as double) as t")
     sums = x.groupBy("_cell").agg(
         *[F.expr(f"{e} as {a}") for e, a in (
-            ("count(*)", "n"), ("sum(y)", "sy"), ("sum(t)", "st"), ("sum(t * t)", "stt"), ("sum(t * y)", "sty"),
+            ("count(*)", "n"), ("sum(y)", "sy"), ("sum(t)", "st"), ("sum(t * t)", "stt"), ("sum(t * y)", "sty"), ("sum(y * y)", "syy"),
         )]
     )
+    within = "sum(stt - st * st / n)"
     wide = sums.agg(
-        F.expr("sum(sty - st * sy / n) / sum(stt - st * st / n) as slope"),
+        F.expr(f"sum(sty - st * sy / n) / {within} as slope"),
+        F.expr(f"{within} as stt_within"),
+        F.expr("sum(syy - sy * sy / n) as syy_within"),
+        F.expr("sum(n) as rows"),
         F.expr("sum(st) / sum(n) as t_mean"),
         F.expr("sqrt((sum(stt) - sum(st) * sum(st) / sum(n)) / (sum(n) - 1)) as t_sd"),
-        *[F.expr(f"max(if(_cell = '{c}', struct(sy / n as y, st / n as t), null)) as `m_{c}`") for c in d.cell_names],
+        *[F.expr(f"max(if(_cell = '{c}', struct(sy / n as y, st / n as t, n as n), null)) as `m_{c}`") for c in d.cell_names],
     )
+    k = len(d.cell_names)
+    wide = wide.withColumn("sigma2", F.expr(f"(syy_within - slope * slope * stt_within) / (rows - {k + 1})"))
     adjusted = wide.selectExpr(
-        "slope * t_sd as b_scaletrial_in_block",
+        "*", "slope * t_sd as b_scaletrial_in_block", "sqrt(sigma2 / stt_within) * t_sd as se_scaletrial_in_block",
         *[f"`m_{c}`.y - slope * (`m_{c}`.t - t_mean) as `{c}`" for c in d.cell_names],
     )
-    coefs = C.encode(adjusted, d, ("b_scaletrial_in_block",))
-    names = ["b_Intercept", *d.parameters, "b_scaletrial_in_block"]
-    return coefs.unpivot([], names, "term", "estimate")
+    w = d.weights()
+    columns = {"b_Intercept": [1 / k] * k, **{p: w[:, j].tolist() for j, p in enumerate(d.parameters)}}
+    errors = []
+    for p, weights in columns.items():
+        used = [(c, x) for c, x in zip(d.cell_names, weights) if x]
+        spread = " + ".join(f"{x * x!r}D / `m_{c}`.n" for c, x in used)
+        tilt = " + ".join(f"{x!r}D * (`m_{c}`.t - t_mean)" for c, x in used)
+        errors.append(f"sqrt(sigma2 * ({spread} + power({tilt}, 2) / stt_within)) as `se_{p}`")
+    coefs = C.encode(adjusted.selectExpr("*", *errors), d, ("b_scaletrial_in_block", "se_scaletrial_in_block", *[f"`se_{p}`" for p in columns]))
+    rows = [f"struct('{p}' as term, `{p}` as estimate, `se_{p}` as se)" for p in columns]
+    rows.append("struct('b_scaletrial_in_block' as term, b_scaletrial_in_block as estimate, se_scaletrial_in_block as se)")
+    return coefs.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def partial_pooling(trials: DataFrame, unit: str) -> DataFrame:

@@ -512,13 +512,17 @@ def regression() -> str:
     d = C.design("seven_block")
     return CLEAN + ", " + weights(d) + f""",
 x AS (SELECT "group", dependency, block, ln(rt) AS y, CAST(trial_in_block AS DOUBLE) AS t FROM clean),
-cm AS (SELECT "group", dependency, block, avg(y) AS my, avg(t) AS mt FROM x GROUP BY ALL),
-sl AS (SELECT "group", sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope, avg(t) AS mean_t, stddev_samp(t) AS sd_t
+cm AS (SELECT "group", dependency, block, avg(y) AS my, avg(t) AS mt, count(*) AS n FROM x GROUP BY ALL),
+sl AS (SELECT "group", sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope, avg(t) AS mean_t, stddev_samp(t) AS sd_t,
+  sum((t - mt) * (t - mt)) AS tt, sum((y - my) * (y - my)) AS yy, count(*) AS rows_
   FROM x JOIN cm USING ("group", dependency, block) GROUP BY 1),
-adj AS (SELECT "group", dependency, block, my - slope * (mt - mean_t) AS value FROM cm JOIN sl USING ("group"))
-SELECT adj."group", w.parameter AS term, round(sum(value * w), 4) AS estimate FROM adj JOIN weights w USING (dependency, block) GROUP BY 1, 2
-UNION ALL SELECT "group", 'b_Intercept', round(avg(value), 4) FROM adj GROUP BY 1
-UNION ALL SELECT "group", 'b_scaletrial_in_block', round(slope * sd_t, 4) FROM sl"""
+s2 AS (SELECT *, (yy - slope * slope * tt) / (rows_ - {len(d.cells) + 1}) AS v FROM sl),
+adj AS (SELECT "group", dependency, block, my - slope * (mt - mean_t) AS value, n, mt - mean_t AS dt, v, tt FROM cm JOIN s2 USING ("group"))
+SELECT adj."group", w.parameter AS term, round(sum(value * w), 4) AS estimate,
+  round(sqrt(any_value(v) * (sum(w * w / n) + pow(sum(w * dt), 2) / any_value(tt))), 4) AS se
+FROM adj JOIN weights w USING (dependency, block) GROUP BY 1, 2
+UNION ALL SELECT "group", 'b_Intercept', round(avg(value), 4), round(sqrt(any_value(v) * (sum(1.0 / n) / {len(d.cells) ** 2} + pow(avg(dt), 2) / any_value(tt))), 4) FROM adj GROUP BY 1
+UNION ALL SELECT "group", 'b_scaletrial_in_block', round(slope * sd_t, 4), round(sqrt(v / tt) * sd_t, 4) FROM s2"""
 
 
 def oracle_sql() -> dict[str, str]:

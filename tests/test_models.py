@@ -23,7 +23,8 @@ def trials(spark):
 def test_regression_matches_least_squares(trials):
     df, rows = trials
     d = C.design("seven_block")
-    got = {r.term: r.estimate for r in M.contrast_regression(T.cell_key(df, ("dependency", "block")), d).collect()}
+    found = M.contrast_regression(T.cell_key(df, ("dependency", "block")), d).collect()
+    got = {r.term: r.estimate for r in found}
     t = np.array([r[4] for r in rows], float)
     x = d.coding()
     place = {c: i for i, c in enumerate(d.cells)}
@@ -31,6 +32,10 @@ def test_regression_matches_least_squares(trials):
     beta = np.linalg.lstsq(X, np.log([r[5] for r in rows]), rcond=None)[0]
     names = ["b_Intercept", *d.parameters, "b_scaletrial_in_block"]
     assert got == pytest.approx(dict(zip(names, beta)), abs=1e-8)
+    y = np.log([r[5] for r in rows])
+    sigma2 = ((y - X @ beta) ** 2).sum() / (len(rows) - X.shape[1])
+    errors = np.sqrt(np.diag(np.linalg.inv(X.T @ X)) * sigma2)
+    assert {r.term: r.se for r in found} == pytest.approx(dict(zip(names, errors)), rel=1e-6)
 
 
 def test_partial_pooling_shrinks_towards_the_grand_mean(trials):
