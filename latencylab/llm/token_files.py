@@ -12,6 +12,7 @@ each.  Only the manifest (one row a shard) is summed up to find where each shard
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -85,6 +86,25 @@ class EliasFano:
                     break
         return (place - i << self.width) | self._low(i)
 
+    def blocks(self):
+        """The values in order, ``SELECT_EVERY`` at a time, from each mark to the next; nothing else is expanded."""
+        for k, first in enumerate(range(0, self.n, SELECT_EVERY)):
+            count, start = min(SELECT_EVERY, self.n - first), int(self.marks[k])
+            stop = int(self.marks[k + 1]) if k + 1 < len(self.marks) else 8 * len(self.high)
+            bits = np.unpackbits(np.frombuffer(self.high[start // 8:(stop + 7) // 8], np.uint8), bitorder="little")
+            places = np.flatnonzero(bits[start % 8:])[:count] + start
+            values = (places - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.width)
+            if self.width:
+                a, b = first * self.width, (first + count) * self.width
+                low = np.unpackbits(np.frombuffer(self.low[a // 8:(b + 7) // 8], np.uint8), bitorder="little")[a % 8:a % 8 + b - a]
+                values |= low.reshape(count, self.width).astype(np.uint64) @ (np.uint64(1) << np.arange(self.width, dtype=np.uint64))
+            yield values
+
+    def values(self):
+        """The values one by one, from a cursor over the blocks."""
+        for block in self.blocks():
+            yield from block.tolist()
+
     def decode(self) -> np.ndarray:
         ones = np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")
         values = (np.flatnonzero(ones)[: self.n] - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
@@ -146,12 +166,12 @@ class Shard:
 
     def documents(self):
         """Yield document id, start in the shard, and ids, reading a bounded number of ids at once."""
-        bounds = self.bounds.decode().astype(np.int64).tolist()
-        names = [None] * self.footer["nulls"] + [self.footer["least"] + int(d) for d in self.doc_ids.decode().tolist()]
+        end = self.bounds.select(self.bounds.n - 1)
+        names = itertools.chain(itertools.repeat(None, self.footer["nulls"]), (self.footer["least"] + d for d in self.doc_ids.values()))
         held, held_at = np.zeros(0, f"<u{self.footer['id_width']}"), 0
-        for name, start, stop in zip(names, bounds[:-1], bounds[1:]):
+        for name, (start, stop) in zip(names, itertools.pairwise(self.bounds.values())):
             if stop > held_at + len(held):
-                held, held_at = self.ids(start, max(stop, min(start + READ_IDS, bounds[-1]))), start
+                held, held_at = self.ids(start, max(stop, min(start + READ_IDS, end))), start
             yield name, start, held[start - held_at:stop - held_at]
 
     def close(self):

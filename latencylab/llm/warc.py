@@ -203,61 +203,92 @@ class IndexShard:
         _, at, length = self.directory[n]
         return [json.loads(line.partition("\t")[2]) for line in zlib.decompress(self.file.read_at(length, at)).decode().split("\n")]
 
-    def find(self, key: str):
-        """Captures of a key: binary search for the first block that can hold it, then through the blocks."""
-        for n in range(max(0, bisect.bisect_left(self.keys, key) - 1), len(self.keys)):
-            if self.keys[n] > key:
-                return
-            lines = self.block(n)
-            at = bisect.bisect_left(lines, key, key=lambda r: r["key"])
-            while at < len(lines) and lines[at]["key"] == key:
-                yield lines[at]
-                at += 1
-
-
-def all_captures(shards: DataFrame) -> DataFrame:
-    """Every capture of an index, block by block."""
-    out = arrow_schema(CAPTURE)
+    def candidates(self, key: str) -> range:
+        """Blocks that can hold a key, by binary search in the sparse directory; no block is read."""
+        return range(max(0, bisect.bisect_left(self.keys, key) - 1), bisect.bisect_right(self.keys, key))
+
+
+def matching(lines: list[dict], key: str):
+    """Captures of a key in a block, by binary search."""
+    at = bisect.bisect_left(lines, key, key=lambda r: r["key"])
+    while at < len(lines) and lines[at]["key"] == key:
+        yield lines[at]
+        at += 1
+
+
+class _Shards:
+    """Index shards a task has open, a bounded number at a time."""
+
+    def __init__(self):
+        self.held: dict[str, IndexShard] = {}
+
+    def __call__(self, path: str) -> IndexShard:
+        if path not in self.held:
+            if len(self.held) >= HELD_DIRECTORIES:
+                self.held.pop(next(iter(self.held))).file.close()
+            self.held[path] = IndexShard(path)
+        return self.held[path]
+
+
+def url_keys(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """``url, key`` of some URLs."""
+    schema = "url string, key string"
+    out = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                shard = IndexShard(path)
-                for n in range(len(shard.directory)):
-                    yield pa.RecordBatch.from_pylist(shard.block(n), schema=out)
-                shard.file.close()
+            urls = batch.column("url")
+            yield pa.RecordBatch.from_arrays([urls, pa.array([url_key(u) for u in urls.to_pylist()], pa.string())], schema=out)
 
-    return map_arrow(shards.repartition(max(1, shards.count()), "path"), run, CAPTURE)
+    return map_arrow(only(urls, url=url_col), run, schema)
 
 
-def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """``url`` with the columns of its captures, one row each; urls without a capture give none.
+def search(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """The captures of some distinct keys, one row each; keys without a capture give none.
 
-    The driver holds one key range a shard; directories and blocks are read by the tasks that need them.
+    Keys are searched in the shards' ranges (the driver holds one a shard), then in the sparse directories, which
+    gives the blocks that can hold them.  Each such block is read once, by range, and searched for its keys; a key with
+    very many captures is spread over its blocks.
     """
     ranges = sorted((r["first_key"], r["last_key"], r["path"]) for r in shards.select("first_key", "last_key", "path").collect())
     lasts = [r[1] for r in ranges]
-    schema = f"url string, {CAPTURE}"
-    out = arrow_schema(schema)
+    probe = "key string, path string, block int"
+    probe_out, out = arrow_schema(probe), arrow_schema(CAPTURE)
 
-    def run(batches):
-        held: dict[str, IndexShard] = {}
+    def locate(batches):
+        opened = _Shards()
         for batch in batches:
             found = []
-            for url in batch.column("url").to_pylist():
-                key = url_key(url)
+            for key in batch.column("key").to_pylist():
                 for first, _, path in ranges[bisect.bisect_left(lasts, key):]:
                     if first > key:
                         break
-                    if path not in held:
-                        if len(held) >= HELD_DIRECTORIES:
-                            held.pop(next(iter(held))).file.close()
-                        held[path] = IndexShard(path)
-                    found += [{"url": url, **c} for c in held[path].find(key)]
+                    found += [(key, path, n) for n in opened(path).candidates(key)]
+                if len(found) >= SLICE_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), probe_out)], schema=probe_out)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), probe_out)], schema=probe_out)
+
+    def fetch(batches):
+        opened, now, lines = _Shards(), None, []
+        for batch in batches:
+            found = []
+            for key, path, n in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if now != (path, n):
+                    now, lines = (path, n), opened(path).block(n)
+                found += matching(lines, key)
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=out)
 
-    return map_arrow(only(urls, url=url_col), run, schema)
+    probes = map_arrow(keys.select("key").repartitionByRange("key").sortWithinPartitions("key"), locate, probe)
+    return map_arrow(probes.repartition("path", "block").sortWithinPartitions("path", "block"), fetch, CAPTURE)
+
+
+def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """``url`` with the columns of its captures, one row each; urls without a capture give none."""
+    wanted = stored(url_keys(urls, url_col).distinct(), "wanted-urls")
+    return wanted.join(search(shards, wanted.select("key").distinct()), "key").select("url", *[f.name for f in arrow_schema(CAPTURE)])
 
 
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
@@ -268,8 +299,9 @@ def read_records(captures: DataFrame) -> DataFrame:
 
     Digest and length are those of the payload read; a revisit has none and states both in its header.
     """
-    placed = captures.select("file", "at", "length")
-    files = placed.repartition(F.col("file")).sortWithinPartitions("file", "at")
+    placed = stored(captures.select("file", "at", "length"), "placed-records")
+    archives = placed.select("file").distinct().count()
+    files = placed.repartition(max(1, archives), "file").sortWithinPartitions("file", "at")
     out = arrow_schema(RECORD)
 
     def rows(data: bytes, base: int, spans: list[tuple[int, int]]):
@@ -317,6 +349,20 @@ def archive(pages: DataFrame, folder: str | None = None, id_col="page_id", url_c
     return write_index(write_archives(rows, f"{folder}/warc"), f"{folder}/index")
 
 
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Archive some pages and read every record back through the index."""
-    return read_records(all_captures(archive(pages, **columns))).drop("url")
+def verified(records: DataFrame) -> DataFrame:
+    """The records; a revisit whose length and digest are not those of the response it names is an error."""
+    named = records.where("record_type = 'response'").select(
+        F.col("page_id").alias("named_id"), F.col("payload_digest").alias("named_digest"), F.col("payload_bytes").alias("named_bytes")
+    ).distinct()
+    on = (F.col("refers_to") == F.col("named_id")) & (F.col("payload_digest") == F.col("named_digest")) & (F.col("payload_bytes") == F.col("named_bytes"))
+    joined = records.join(named.where(F.col("named_bytes") >= SHARED_BYTES), on, "left")
+    wrong = F.concat(F.lit("revisit "), F.col("page_id").cast("string"), F.lit(" doesn't agree with the record it names"))
+    kind = F.when((F.col("record_type") == "revisit") & F.col("named_id").isNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("record_type"))
+    return joined.withColumn("record_type", kind).select(records.columns)
+
+
+def round_trip(pages: DataFrame, url_col="url", **columns) -> DataFrame:
+    """Archive some pages, look every page up by its URL's key, and read what is found back from the archives."""
+    shards = archive(pages, url_col=url_col, **columns)
+    keys = url_keys(pages, url_col).select("key").distinct()
+    return verified(stored(read_records(search(shards, keys)), "records-read")).drop("url")

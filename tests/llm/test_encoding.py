@@ -65,7 +65,8 @@ def test_encoding_table_edges(spark, library):
 def test_elias_fano_round_trip(values):
     values.sort()
     coded = token_files.EliasFano.encode(np.array(values, np.uint64))
-    assert coded.decode().tolist() == values
+    assert coded.decode().tolist() == values == list(coded.values())
+    assert all(len(b) <= token_files.SELECT_EVERY for b in coded.blocks())
     assert all(coded.select(i) == values[i] for i in range(0, len(values), 37))
 
 

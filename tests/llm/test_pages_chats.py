@@ -41,6 +41,28 @@ def test_lookup_finds_every_capture(spark, monkeypatch):
     assert warc.read_records(found).count() == len(got)
 
 
+def test_a_key_of_most_captures_is_spread_over_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(i, "http://hot.example/", f"page {i}") for i in range(50)] + [(100 + i, f"http://{c}.example/", "x") for i, c in enumerate("aghiz")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    shards = warc.archive(pages)
+    keys = warc.url_keys(pages).select("key").distinct()
+    found = warc.search(shards, keys)
+    assert sorted(r["id"] for r in found.collect()) == sorted(r[0] for r in rows)
+    for url, ids in (("http://hot.example/", set(range(50))), ("http://a.example", {100}), ("http://zz.example/", set())):
+        assert {r["id"] for r in warc.search(shards, warc.url_keys(spark.createDataFrame([(url,)], "url string"))).collect()} == ids
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == sorted(r[0] for r in rows)
+
+
+def test_revisits_are_held_against_the_record_they_name(spark):
+    rows = [(1, 200, "aa", "response", None, "u"), (2, 200, "aa", "revisit", 1, "u")]
+    kind = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+    assert warc.verified(spark.createDataFrame(rows, kind)).count() == 2
+    bad = spark.createDataFrame([*rows, (3, 201, "aa", "revisit", 1, "u")], kind)
+    with pytest.raises(Exception, match="revisit 3 doesn't agree"):
+        warc.verified(bad).collect()
+
+
 def test_records_are_gzip_members():
     page = {"id": 4, "url": "u", "digest": "d", "bytes": 2, "refers_to": None, "payload": b"hi"}
     data = warc.record(page)
