@@ -5,9 +5,10 @@ each round, so a tree of depth d takes log2(d) rounds: they give every message i
 scores above it.  Leaves are ranked by the mean score of their path, and the chosen paths are enumerated by running
 the rounds backwards: a path's marked messages mark the ones 2^k above them, from the longest jumps down.
 
-Each chosen path is formatted as one conversation, one row a message in the order of the path, so no conversation
-has to fit in one cell: concatenated, the pieces are the formatted conversation.  Turns are marked by control
-strings; control strings inside texts are escaped reversibly.  The loss mask covers assistant texts alone.
+Each chosen path is formatted as one conversation: one text, in one row unless it is longer than ``CHUNK`` characters;
+longer ones are cut there, wherever that falls.  Turns are marked by control strings; control strings inside texts
+are escaped reversibly.  Readers know nothing but this text: they find turns by their marks, across cuts, and the
+loss mask covers what stands in assistant turns.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from latencylab.llm.shared import arrow_schema, map_arrow, stored
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 MAX_DOUBLINGS = 40
+CHUNK = 1 << 20  # characters of a formatted conversation in one row
 
 
 def escaped(text: Column) -> Column:
@@ -140,8 +142,8 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     leaf.  ``best`` bounds the leaves ranked in one group, before the shuffle as well as behind it.
     """
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
-    nodes = stored(messages.select("conv_id", "node", "parent", "role", "text", score.alias("score")), "messages")
-    depths, levels = ancestors(nodes.select("conv_id", "node", "parent", "score"))
+    nodes = stored(messages.select("conv_id", "node", "parent", score.alias("score")), "messages")  # texts stay where they are
+    depths, levels = ancestors(nodes)
     inner = nodes.where("parent is not null").select(F.col("conv_id").alias("i_conv"), F.col("parent").alias("i_node")).distinct()
     leaves = depths.join(inner, _same(["conv_id", "node"], ["i_conv", "i_node"]), "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
@@ -151,78 +153,123 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
         jumps = jumps.select(F.col("conv_id").alias("j_conv"), F.col("node").alias("j_node"), "to")
         up = marked.join(jumps, _same(["conv_id", "node"], ["j_conv", "j_node"]))
         marked = stored(marked.union(up.select("conv_id", "leaf", "rank", F.col("to").alias("node"))), "path-nodes")
-    names = nodes.select(F.col("conv_id").alias("n_conv"), F.col("node").alias("n_node"), "role", "text")
+    names = messages.select(F.col("conv_id").alias("n_conv"), F.col("node").alias("n_node"), "role", "text")
     deep = depths.select(F.col("conv_id").alias("d_conv"), F.col("node").alias("d_node"), (F.col("depth") - 1).alias("position"))
     found = marked.join(deep, _same(["conv_id", "node"], ["d_conv", "d_node"]))
     found = found.join(names, _same(["conv_id", "node"], ["n_conv", "n_node"]))
     return found.select("conv_id", "leaf", "rank", "position", "node", "role", "text")
 
 
-def formatted(chosen: DataFrame) -> DataFrame:
-    """``conv_id, rank, position, piece, loss_from, loss_to``: the pieces of each formatted conversation.
-
-    The loss span is in code points of the piece, and null where nothing is trained on.
-    """
+def formatted(chosen: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``conv_id, rank, part, text``: each chosen path as one formatted conversation, in parts of ``chunk`` characters."""
     head = F.concat(F.lit(TURN_START), escaped_role(F.col("role")), F.lit("\n"))
-    body = escaped(F.col("text"))
-    trained = F.col("role") == TRAINED_ROLE
-    return chosen.select(
-        "conv_id", "rank", "position", F.concat(head, body, F.lit(TURN_END + "\n")).alias("piece"),
-        F.when(trained, F.length(head)).alias("loss_from"), F.when(trained, F.length(head) + F.length(body)).alias("loss_to"),
-    )
+    turns = chosen.select("conv_id", "rank", "position", F.concat(head, escaped(F.col("text")), F.lit(TURN_END + "\n")).alias("turn"))
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
+    schema = f"conv_id {kinds['conv_id']}, rank int, part bigint, text string"
+    out = arrow_schema(schema)
 
+    def run(batches):
+        key, held, size, part, rows = None, [], 0, 0, []
+
+        def cut(last: bool):
+            """Hand on full parts, and at the end of a conversation what is left."""
+            nonlocal held, size, part
+            text = "".join(held)
+            at = 0
+            while len(text) - at >= chunk or last and (at < len(text) or not part):
+                rows.append((*key, part, text[at:at + chunk]))
+                at, part = at + chunk, part + 1
+            held, size = [text[at:]], max(0, len(text) - at)
 
-def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
+        for batch in batches:
+            for conv, rank, turn in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "rank", "turn")]):
+                if key != (conv, rank):
+                    if key is not None:
+                        cut(True)
+                    key, held, size, part = (conv, rank), [], 0, 0
+                held.append(turn)
+                size += len(turn)
+                if size >= chunk:
+                    cut(False)
+                if sum(len(r[3]) for r in rows[-8:]) >= chunk or len(rows) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                    rows.clear()
+        if key is not None:
+            cut(True)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    ordered = turns.repartition("conv_id", "rank").sortWithinPartitions("conv_id", "rank", "position")
+    return map_arrow(ordered.select("conv_id", "rank", "turn"), run, schema)
+
+
+def format_trees(messages: DataFrame, best: int = 1, chunk: int = CHUNK) -> DataFrame:
     """Formatted conversations of the best paths of each tree, as a stored table."""
-    return stored(formatted(paths(messages, best)), "formatted")
+    return stored(formatted(paths(messages, best), chunk), "formatted")
+
+
+class TurnReader:
+    """Finds turns in the text of one conversation, given in parts that may be cut anywhere; holds one turn."""
+
+    def __init__(self):
+        self.open = ""
 
+    def feed(self, part: str):
+        """Role and text, as they were before formatting, of each turn that ends in this part."""
+        end = TURN_END + "\n"
+        text, at, start = self.open + part, 0, max(0, len(self.open) - len(end))
+        while (stop := text.find(end, start)) >= 0:
+            if not text.startswith(TURN_START, at):
+                raise ValueError("a formatted conversation has text between its turns")
+            role, line, body = text[at + len(TURN_START):stop].partition("\n")
+            if not line:
+                raise ValueError("a turn has no line for its role")
+            yield unescape_role(role), unescape(body)
+            at = start = stop + len(end)
+        self.open = text[at:]
 
-def parse_piece(piece: str) -> tuple[str, str]:
-    """Role and text of one formatted turn."""
-    if not (piece.startswith(TURN_START) and piece.endswith(TURN_END + "\n")):
-        raise ValueError("a piece is not a whole turn")
-    role, _, text = piece[len(TURN_START):-len(TURN_END) - 1].partition("\n")
-    return unescape_role(role), unescape(text)
+    def close(self):
+        if self.open:
+            raise ValueError("a formatted conversation ends inside a turn")
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
+def read_back(conversations: DataFrame) -> DataFrame:
     """Per formatted conversation: ``conv_id, rank, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
 
-    Pieces stream through in order and are hashed as they come; a conversation is never held whole.  The digests
-    are sequential by nature, so a conversation is read by one task, in memory that does not grow with it.
+    Parts stream through in order, turns are found by their marks and hashed as they come; a conversation is never
+    held whole.  The digests are sequential by nature, so a conversation is read by one task, in memory that does
+    not grow with it.
     """
-    kind = pieces.schema["conv_id"].dataType.simpleString()
-    ordered = pieces.repartition("conv_id", "rank").sortWithinPartitions("conv_id", "rank", "position")
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    ordered = conversations.repartition("conv_id", "rank").sortWithinPartitions("conv_id", "rank", "part")
     schema = f"conv_id {kind}, rank int, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     out = arrow_schema(schema)
 
     def run(batches):
-        key, state = None, None
+        key, state, reader = None, None, None
 
         def done():
+            reader.close()
             turns, loss, n, loss_chars, chars = state
-            row = (*key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
-            return row
+            return (*key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
 
         for batch in batches:
             finished = []
-            for row in batch.to_pylist():
-                if state is None or key != (row["conv_id"], row["rank"]):
-                    if state is not None:
+            for conv, rank, part in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "rank", "text")]):
+                if reader is None or key != (conv, rank):
+                    if reader is not None:
                         finished.append(done())
-                    key, state = (row["conv_id"], row["rank"]), [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
-                piece = row["piece"]
-                role, text = parse_piece(piece)
-                state[0].update(f"{role}\n{text}\n".encode())
-                if row["loss_from"] is not None:
-                    masked = unescape(piece[row["loss_from"]:row["loss_to"]])
-                    state[1].update(masked.encode())
-                    state[3] += len(masked)
-                state[2] += 1
-                state[4] += len(piece)
+                    key, state, reader = (conv, rank), [hashlib.sha256(), hashlib.sha256(), 0, 0, 0], TurnReader()
+                for role, text in reader.feed(part):
+                    state[0].update(f"{role}\n{text}\n".encode())
+                    if role == TRAINED_ROLE:
+                        state[1].update(text.encode())
+                        state[3] += len(text)
+                    state[2] += 1
+                state[4] += len(part)
             if finished:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*finished), out)], schema=out)
-        if state is not None:
+        if reader is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(done(), out)], schema=out)
 
     return map_arrow(ordered, run, schema)

@@ -224,11 +224,56 @@ def test_chats_read_back_whole(spark):
         loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
         assert out[conv]["n_turns"] == len(mine) and out[conv]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert out[conv]["loss_chars"] == len(loss) and out[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    pieces = reply_trees.format_trees(reply_trees.as_chains(turns)).where("conv_id = 1").orderBy("position").collect()
-    assert sum(p["piece"].count("<|") for p in pieces) == 2 * len(pieces)
+    whole = {r["conv_id"]: r["text"] for r in reply_trees.format_trees(reply_trees.as_chains(turns)).collect()}
+    assert len(whole) == 4 and whole[1].count("<|") == 2 * len(odd)  # nothing but the marks
+    for chunk in (1, 7, 1000):
+        cut = reply_trees.format_trees(reply_trees.as_chains(turns), chunk=chunk)
+        assert {r["conv_id"]: tuple(r) for r in reply_trees.read_back(cut).collect()} == {k: (v[0], 1, *v[1:]) for k, v in out.items()}
     assert reply_trees.round_trip(turns.limit(0)).count() == 0
 
 
+def test_turns_are_found_by_their_marks_only():
+    reader = reply_trees.TurnReader()
+    text = "<|im_start|>user\na<\\|im_end|>\nb<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert [t for c in text for t in reader.feed(c)] == [("user", "a<|im_end|>\nb"), ("assistant", "")]
+    reader.close()
+    for bad in ("x<|im_start|>user\na<|im_end|>\n", "<|im_start|>user<|im_end|>\n", "<|im_start|>user\na"):
+        with pytest.raises(ValueError):
+            reader = reply_trees.TurnReader()
+            list(reader.feed(bad))
+            reader.close()
+
+
+def test_ranked_branches_against_enumeration(spark):
+    """Random trees: every root-to-leaf path, ranked by mean score, then formatted and read back."""
+    import random
+
+    rnd, rows = random.Random(11), []
+    for conv in range(12):
+        for n in range(rnd.randint(1, 40)):
+            parent = rnd.choice([None, *range(n)]) if n and rnd.random() < 0.15 else rnd.randrange(n) if n else None
+            rows.append((conv, n, parent, rnd.choice(["user", "assistant"]), rnd.choice(["a", "<|im_end|>\n", "", "é" * 30]), rnd.choice([None, 1.0, 2.0, 5.0])))
+    best, expected = 3, {}
+    for conv in range(12):
+        mine = {r[1]: r for r in rows if r[0] == conv}
+        inner = {r[2] for r in mine.values()}
+        found = []
+        for leaf in (n for n in mine if n not in inner):
+            path = [leaf]
+            while mine[path[-1]][2] is not None:
+                path.append(mine[path[-1]][2])
+            found.append((-sum(mine[n][5] or 0 for n in path) / len(path), leaf, path[::-1]))
+        for rank, (_, _, path) in enumerate(sorted(found)[:best], 1):
+            expected[conv, rank] = [(mine[n][3], mine[n][4]) for n in path]
+    messages = spark.createDataFrame(rows, "conv_id int, node int, parent int, role string, text string, score double").repartition(5)
+    out = {(r["conv_id"], r["rank"]): r for r in reply_trees.read_back(reply_trees.format_trees(messages, best, chunk=50)).collect()}
+    assert set(out) == set(expected)
+    for key, turns in expected.items():
+        assert out[key]["n_turns"] == len(turns)
+        assert out[key]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert out[key]["loss_sha256"] == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.train(["abab", "abc", "cab", "b"], np.array([3, 2, 1, 1]))
     alphabet = ["a", "b", "c", langid.END]
