@@ -288,6 +288,51 @@ def test_kneser_ney_sums_to_one():
         assert 0.9 < total < 1.0  # the rest is left to unseen symbols
 
 
+def plain_kneser_ney(words: dict[str, int], order: int = langid.ORDER):
+    """Interpolated Kneser-Ney from dictionaries: counts at the top, numbers of left neighbours below."""
+    top = {}
+    for word, n in words.items():
+        text = langid.START * (order - 1) + word + langid.END
+        for i in range(order - 1, len(text)):
+            gram = text[i - order + 1:i + 1]
+            top[gram] = top.get(gram, 0) + n
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        below = {}
+        for gram in levels[n + 1]:
+            below[gram[1:]] = below.get(gram[1:], 0) + 1
+        levels[n] = below
+
+    def probability(context: str, symbol: str) -> float:
+        p = 1.0 / (len(levels[1]) + 1)
+        for n in range(1, order + 1):
+            counts = levels[n]
+            once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+            discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+            head = context[len(context) - n + 1:]
+            after = {g: c for g, c in counts.items() if g[:-1] == head}
+            if not after:
+                return p
+            total = sum(after.values())
+            p = max(after.get(head + symbol, 0) - discount, 0) / total + discount * len(after) / total * p
+        return p
+
+    return probability
+
+
+def test_kneser_ney_against_plain_dictionaries():
+    words = {"abab": 3, "abc": 2, "cab": 1, "b": 4, "éa": 1, "abcab": 2}
+    model = langid.train(list(words), np.array(list(words.values())))
+    direct = plain_kneser_ney(words)
+    for context in ("", "a", "ab", "ca", "abab", "z", "az", "éa", "bcab"):
+        for symbol in ["a", "b", "c", "é", "z", langid.END]:
+            padded = (langid.START * 4 + context)[-4:]
+            codes = np.array([ord(x) for x in padded + symbol], np.uint64)
+            hashes = langid.grams(codes)
+            keys, contexts = [h[-1:] for h in hashes], [np.zeros(1, np.uint64), *[h[-2:-1] for h in hashes[:-1]]]
+            assert np.exp(langid.log_probabilities(model, keys, contexts)[0]) == pytest.approx(direct(padded, symbol), rel=1e-9)
+
+
 def test_languages_are_told_apart(spark, sf_dir):
     out = queries.QUERIES["op7_language"](spark, sf_dir)
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
