@@ -667,8 +667,9 @@ def q16_hit_rates(spark, sf):
     return P.hit_rates(WH.judgements(spark, sf))
 
 
-def sdt_draws(spark, sf):
-    return M.sdt_replicates(WH.judgements(spark, sf))
+def sdt_draws(spark, sf, draws=M.SDT_REPLICATES):
+    """Stored draws of the signal-detection parameters; several reports read them more than once."""
+    return WH.stored_draws(spark, sf, f"sdt-draws-{draws}", lambda: M.sdt_replicates(WH.judgements(spark, sf), draws), ("labels", "documents"))
 
 
 @query
@@ -780,8 +781,7 @@ def chain_diagnostics(spark, sf):
 
 def _predictive(stem, run):
     def one(spark, sf):
-        j = WH.judgements(spark, sf)
-        return run(PR.simulated_counts(j, M.sdt_replicates(j)))
+        return run(PR.simulated_counts(WH.judgements(spark, sf), sdt_draws(spark, sf)))
 
     one.__name__ = f"predictive_{stem}"
     query(one)
@@ -798,8 +798,7 @@ LOO_DRAWS = 4_000
 
 @query
 def predictive_loo_pit(spark, sf):
-    j = WH.judgements(spark, sf)
-    return PR.sdt_leave_one_out(j, M.sdt_replicates(j, LOO_DRAWS))
+    return PR.sdt_leave_one_out(WH.judgements(spark, sf), sdt_draws(spark, sf, LOO_DRAWS))
 
 
 @query

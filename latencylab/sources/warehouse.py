@@ -73,13 +73,13 @@ def all_cells() -> list[str]:
     return [f"{g}_{c}" for g in COHORTS for c in contrasts.design("seven_block").cell_names]
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A draw table written to the shared folder and read from there; built again when its input's files change.
+def stored_draws(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], tables: tuple[str, ...] = ("lineitem",)) -> DataFrame:
+    """A draw table written to the shared folder and read from there; built again when the files of its tables change.
 
     Draw tables are stored results that many reports read; parquet lets each read only its columns.
     """
     made = _written.setdefault(spark.sparkContext.applicationId, {})
-    stamp = input_stamp(spark, f"{sf_dir}/lineitem.parquet")
+    stamp = tuple(input_stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables)
     if (sf_dir, name) not in made or made[sf_dir, name][0] != stamp:
         path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df = build()
@@ -93,7 +93,7 @@ _written: dict[str, dict] = {}
 
 
 def cell_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "cell-draws", lambda: _build_cell_draws(spark, sf_dir))
+    return stored_draws(spark, sf_dir, "cell-draws", lambda: _build_cell_draws(spark, sf_dir))
 
 
 def _trend(cells: list[tuple[str, int]]) -> str:
@@ -105,7 +105,7 @@ def _trend(cells: list[tuple[str, int]]) -> str:
 
 def seven_block_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide parameter draws of the 7-block model, one row per cohort and draw."""
-    return _stored(spark, sf_dir, "seven-block-draws", lambda: _build_seven_block(spark, sf_dir))
+    return stored_draws(spark, sf_dir, "seven-block-draws", lambda: _build_seven_block(spark, sf_dir))
 
 
 def _build_seven_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _build_seven_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def group_draws(spark: SparkSession, sf_dir: str, d: Design) -> DataFrame:
     """Wide parameter draws of a group model, with log residual scale and shift per group."""
-    return _stored(spark, sf_dir, d.name, lambda: _build_group(spark, sf_dir, d))
+    return stored_draws(spark, sf_dir, d.name, lambda: _build_group(spark, sf_dir, d))
 
 
 def _build_group(spark: SparkSession, sf_dir: str, d: Design) -> DataFrame:
