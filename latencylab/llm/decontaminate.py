@@ -7,6 +7,9 @@ the text against the item); a diagonal whose slots are not filled consistently (
 replaced by the same value) does not count as a re-parameterised copy.  A text holds an item if the windows that
 remain cover at least ``COVERAGE`` of the item's tokens.
 
+Items of equal text, and items that differ in their slots' values alone, are classes: one item stands for the class, so
+a text is joined with a class once, however many items share a template; ``item_classes`` has the members.
+
 Of the corpus only windows that pass a Bloom filter of the benchmark's windows leave their task, so the shuffle
 carries the passages found, not the corpus.  The filter has a fixed size whatever the benchmark's; the join
 behind it is exact.
@@ -111,28 +114,41 @@ def window_hashes(hashes: np.ndarray, size: int, salt: int) -> np.ndarray:
 
 
 def windows_of(hashes: np.ndarray, slots: np.ndarray, size: int):
-    """Window hashes as they stand, as templates, and which templates count: with a slot and enough literals."""
+    """Window hashes as they stand, as templates, which templates count (with a slot and enough literals), and which
+    windows have no slot."""
     literal = window_hashes(hashes, size, 1)
     n = len(literal)
     is_slot = np.concatenate(([0], np.cumsum(slots > 0)))
     filled = is_slot[size:] - is_slot[:-size] if n > 0 else np.zeros(0, int)
     usable = (filled > 0) & (size - filled >= min(LITERALS, size - 1))
     if not usable.any():
-        return literal, np.zeros(n, np.uint64), usable
-    return literal, window_hashes(np.where(slots > 0, PLACEHOLDER[slots], hashes), size, 2), usable
+        return literal, np.zeros(n, np.uint64), usable, filled == 0
+    return literal, window_hashes(np.where(slots > 0, PLACEHOLDER[slots], hashes), size, 2), usable, filled == 0
 
 
 WINDOW_COLUMNS = "hash bigint, at int, size int, template boolean, slots array<string>"
 
 
-def _window_rows(ids, texts, tags, sizes_of, passes):
+def forms_of(tokens: list[str], hashes: np.ndarray, slots: np.ndarray) -> tuple[str, str]:
+    """Digests of a text as it stands, and as a template with the pattern of equal values among its slots."""
+    numbers: dict[str, int] = {}
+    pattern = [numbers.setdefault(t.lower(), len(numbers)) for t, k in zip(tokens, slots) if k > 0]
+    template = np.where(slots > 0, PLACEHOLDER[slots], hashes).tobytes() + repr(pattern).encode()
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes()), xxhash.xxh3_128_hexdigest(template)
+
+
+def _window_rows(ids, texts, tags, sizes_of, passes, with_forms):
     """Columns of the windows of some texts that pass a filter."""
-    cols = {k: [] for k in ("id", "tag", "hash", "at", "size", "template", "slots", "tokens")}
+    cols = {k: [] for k in ("id", "tag", "hash", "at", "size", "template", "slots", "tokens", "form")}
     for row, (tokens, hashes, slots) in enumerate(canonical(texts)):
+        forms = None
         for size in sizes_of(len(tokens)):
-            literal, template, usable = windows_of(hashes, slots, size)
+            literal, template, usable, free = windows_of(hashes, slots, size)
             for is_template, values, hit in ((False, literal, passes(literal)), (True, template, usable & passes(template))):
                 for at in np.flatnonzero(hit).tolist():
+                    if with_forms:
+                        forms = forms or forms_of(tokens, hashes, slots)
+                    cols["form"].append(forms and forms[bool(is_template or free[at])])
                     cols["id"].append(ids[row])
                     cols["tag"].append(tags[row])
                     cols["hash"].append(int(values[at:at + 1].view(np.int64)[0]))
@@ -154,7 +170,7 @@ def _mapped(df: DataFrame, schema: str, sizes_of, passes) -> DataFrame:
                 part = batch.slice(start, SLICE_ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 tags = [zlib.crc32(t.encode()) for t in texts]
-                cols = _window_rows(part.column("id").to_pylist(), texts, tags, sizes_of, passes)
+                cols = _window_rows(part.column("id").to_pylist(), texts, tags, sizes_of, passes, "form" in out.names)
                 if cols["at"]:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 
@@ -162,13 +178,16 @@ def _mapped(df: DataFrame, schema: str, sizes_of, passes) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Windows of the benchmark items (``id, text``); an item shorter than a window has one of its own length."""
+    """Windows of the benchmark items (``id, text``); an item shorter than a window has one of its own length.
+
+    ``form`` is a digest of the whole item: as it stands for windows with a slot's value, else as a template.
+    """
     kind = items.schema["id"].dataType.simpleString()
 
     def sizes_of(n):
         return [] if n < SHORTEST_ITEM else [min(WINDOW, n)]
 
-    return _mapped(items, f"id {kind}, tokens int, {WINDOW_COLUMNS}", sizes_of, lambda h: np.ones(len(h), bool))
+    return _mapped(items, f"id {kind}, tokens int, form string, {WINDOW_COLUMNS}", sizes_of, lambda h: np.ones(len(h), bool))
 
 
 def bloom_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -192,18 +211,38 @@ def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _classes(windows: DataFrame) -> DataFrame:
+    """``template, form, first, n_items``: the smallest item of each class and the number of its items."""
+    items = windows.select("template", "form", "id").distinct()
+    return items.groupBy("template", "form").agg(F.min("id").alias("first"), F.count("*").alias("n_items"))
+
+
+def _of_representatives(windows: DataFrame) -> DataFrame:
+    """The windows of the items that stand for their class, with ``n_items``."""
+    joined = windows.join(_classes(windows), ["template", "form"]).where(F.col("id").eqNullSafe(F.col("first")))
+    return joined.drop("first", "form").distinct()
+
+
+def item_classes(benchmark: DataFrame, item_col="item_id", item_text_col="text") -> DataFrame:
+    """``item_id, first``: the items that stand for an item, by equal text or by equal template."""
+    windows = item_windows(only(benchmark, id=item_col, text=item_text_col)).select("template", "form", "id").distinct()
+    return windows.join(_classes(windows), ["template", "form"]).select(F.col("id").alias("item_id"), "first").distinct()
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
     coverage: float = COVERAGE,
 ) -> DataFrame:
-    """One row per document and benchmark item it holds: ``id, tag, item_id, item_tokens, found_tokens, literal``.
+    """One row per document and class of items it holds: ``id, tag, item_id, item_tokens, found_tokens, literal, n_items``.
 
-    ``tag`` is the CRC-32 of the text, which tells texts of equal id apart; ``literal`` is false if only template
+    ``item_id`` is the smallest of the class, ``n_items`` its size: items of equal text for windows with a slot's value,
+    items of equal template for the other ones.  ``tag`` is the CRC-32 of the text, which tells texts of equal id apart; ``literal`` is false if only template
     windows matched.  Null and empty texts hold nothing; items under ``SHORTEST_ITEM`` tokens match nothing;
     repeated rows of a table count once; an empty table on either side gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     windows = stored(item_windows(only(benchmark, id=item_col, text=item_text_col)).distinct(), "item-windows")
+    windows = stored(_of_representatives(windows), "class-windows")
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # WINDOW and shorter: a few
     words = spark.sparkContext.broadcast(bloom_filter(windows))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -227,12 +266,12 @@ def leaks(
     plain, template = aligned.where(~F.col("template")), aligned.where("template").join(clash, same, "left_anti")
     kept = plain.unionByName(template)
     spots = F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spot")
-    cover = kept.select("id", "tag", "item_id", "item_tokens", "template", spots).groupBy("id", "tag", "item_id", "item_tokens").agg(
-        F.countDistinct("spot").alias("found_tokens"), F.min("template").alias("only_template")
+    cover = kept.select("id", "tag", "item_id", "item_tokens", "template", "n_items", spots).groupBy("id", "tag", "item_id", "item_tokens").agg(
+        F.countDistinct("spot").alias("found_tokens"), F.min("template").alias("only_template"), F.max("n_items").alias("n_items")
     )
     return cover.where(F.col("found_tokens") >= F.lit(coverage) * F.col("item_tokens")).select(
         "id", "tag", "item_id", "item_tokens", F.col("found_tokens").cast("int").alias("found_tokens"),
-        (~F.col("only_template")).alias("literal"),
+        (~F.col("only_template")).alias("literal"), "n_items",
     )
 
 

@@ -35,7 +35,7 @@ REJECT_MARGIN = 1.5  # times the widest deviation seen in calibration
 UNSEEN_SHARE = 0.9  # of the entropy of unknown symbols; a text that reaches it is as good as unknown
 SETTLED = 400  # symbols beyond which a text's entropy is not expected to come closer to the mean
 CHUNKS = 200_000
-LONGEST = 200  # characters of a chunk without white space; longer ones are cut
+LONGEST_KEPT = 200  # characters of a chunk whose scores are kept; longer ones are scored each time
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 START, END = "\x02", "\x03"
@@ -163,16 +163,23 @@ class Scorer(dict):
         """Per text the log-probability under each model, and the number of symbols scored."""
         if len(self) > CHUNKS:
             self.clear()
-        rows = []
-        for text in texts:
+        rows, long = [], []
+        for row, text in enumerate(texts):
             chunks = text.split()
-            if len(text) > LONGEST and max(map(len, chunks), default=0) > LONGEST:
-                chunks = [c[i:i + LONGEST] for c in chunks for i in range(0, len(c), LONGEST)]
+            if len(text) > LONGEST_KEPT and max(map(len, chunks), default=0) > LONGEST_KEPT:
+                long += [(row, w) for c in chunks if len(c) > LONGEST_KEPT for w in LETTERS.findall(c.lower())]
+                chunks = [c for c in chunks if len(c) <= LONGEST_KEPT]
             rows.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
         if self.pending:
             self._score_pending()
         sums = np.stack([self.sums[r].sum(0) for r in rows]) if rows else np.zeros((0, len(self.models)))
-        return sums, np.array([self.sizes[r].sum() for r in rows], np.int64)
+        sizes = np.array([self.sizes[r].sum() for r in rows], np.int64)
+        if long:
+            more, symbols_of = score_words(self.models, [w for _, w in long])
+            at = [row for row, _ in long]
+            np.add.at(sums, at, more)
+            np.add.at(sizes, at, symbols_of)
+        return sums, sizes
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:

@@ -159,6 +159,24 @@ def test_leaks_as_they_stand_and_as_templates(spark):
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == len(rows)
 
 
+def test_items_of_one_template_are_one_class(spark):
+    pattern = "A train covers {} km in {} hours before it stops for water near the old northern bridge"
+    items = spark.createDataFrame([(i, pattern.format(100 + i, 2 + i)) for i in range(30)] + [(50, pattern.format(100, 2)), (60, pattern.format(7, 7))], "item_id int, text string")
+    docs = spark.createDataFrame([(i, pattern.format(900 + i, 40 + i)) for i in range(20)] + [(99, pattern.format(105, 7)), (98, pattern.format(5, 5))], "doc_id int, text string")
+    found = decontaminate.leaks(docs, items).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["id"], set()).add((r["item_id"], r["literal"], r["n_items"]))
+    # other values: the class of the smallest item; equal values are a class of their own, which shares words but no slots
+    assert all((0, False, 31) in {(i, False, n) for i, _, n in by[k]} for k in range(20))
+    assert all({i for i, _, _ in by[k]} <= {0, 60} for k in range(20))
+    assert 5 in {i for i, _, _ in by[99]} and {i for i, _, _ in by[99]} <= {0, 5, 60} and 60 in {i for i, _, _ in by[98]}
+    classes = {}
+    for r in decontaminate.item_classes(items).collect():
+        classes.setdefault(r["item_id"], set()).add(r["first"])
+    assert classes[50] == classes[0] == {0} and classes[17] == {0, 17} and classes[60] == {60}
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "then Alice saw Bob and Alice told Bob that Alice would meet Bob near the old mill by noon"
     items = spark.createDataFrame([(1, item)], "item_id int, text string")

@@ -341,6 +341,14 @@ def test_languages_are_told_apart(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_long_words_are_scored_whole():
+    models = [langid.train(["abab", "abc", "cab", "b"], np.array([3, 2, 1, 1])), langid.train(["xyz", "zyx"], np.array([2, 1]))]
+    word = "abcab" * 300
+    sums, sizes = langid.Scorer(models)([word, "abc", f"abc {word}, 12"])
+    direct, n = langid.score_words(models, [word, "abc"])
+    assert sizes.tolist() == [n[0], n[1], n[0] + n[1]] and np.allclose(sums[:2], direct) and np.allclose(sums[2], direct.sum(0))
+
+
 def test_language_edges(spark):
     english, german = "the cat sat on the mat with the other cats ", "der hund lief durch die stadt und bellte laut "
     rows = [(i, (english if i % 2 else german) * 3, "en" if i % 2 else "de", 0.0) for i in range(24)]
