@@ -7,6 +7,8 @@ merges), so ``ORACLE_SQL`` is None and the stages are tested against brute-force
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,13 +17,27 @@ from latencylab.llm.shared import stored
 
 ORACLE_SQL = None
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BATCH_ROWS = 2_000  # rows handed to Python at a time: texts are long, and five operators share the executors' memory
+
+
+def small_batches(stage):
+    """The stage with batches of ``BATCH_ROWS`` rows between the JVM and Python, from then on in its session."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@small_batches
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that no language model accepts."""
     return langid.accepted_rows(docs, langid.fit(docs))
 
 
+@small_batches
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group keep the document of smallest id.
 
@@ -45,6 +61,7 @@ def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return once.union(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document has; ``n_chars`` follows the text."""
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -53,11 +70,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
     path = public_tokenizers.path(VOCABULARY)
