@@ -196,7 +196,8 @@ def _ranked(passes: _Passes, stats: DataFrame, bins: DataFrame, slice_rows: int)
     rows = passes.binned(stats).select("_g", "_bin", "_v").join(passes.attach(bins.select("_g", "_bin")), ["_g", "_bin"])
     # equal values collapse before the shuffle, so a value holding most of the rows is one row
     distinct = rows.groupBy("_g", "_bin", "_v").agg(F.count("*").alias("m"))
-    distinct = _sliced(distinct, bins.agg(F.expr(f"sum(ceil(c / {slice_rows}))")).first()[0] or 1)
+    # by rows, not by bins: every slice costs the driver a task result and some three hundred sampled rows
+    distinct = _sliced(distinct, bins.agg(F.expr(f"ceil(sum(c) / {slice_rows})")).first()[0] or 1)
     sizes = distinct.groupBy("_g", "_bin", "_slice").agg(F.sum("m").alias("m_slice"))
     before = "over (partition by _g, _bin order by _slice rows between unbounded preceding and 1 preceding)"
     heads = sizes.selectExpr("_g", "_bin", "_slice", f"coalesce(sum(m_slice) {before}, 0L) as skip")

@@ -144,6 +144,19 @@ def test_slices_stay_even_around_nested_outliers(spark):
     assert r.med == pytest.approx(np.median(values)) and (r.lo_95, r.hi_95) == brute(np.array(values), 0.95)
 
 
+def test_slices_follow_rows_not_bins(spark, monkeypatch):
+    from latencylab.operators import distributions
+
+    asked, cut = [], distributions._sliced
+    monkeypatch.setattr(distributions, "_sliced", lambda distinct, slices: cut(distinct, asked.append(int(slices)) or slices))
+    df = spark.range(40_000).selectExpr("id % 4 as g", "cast(id * 7919 % 40009 as double) as value")
+    got = {r.g: r for r in summarise(df, ["g"], quantiles={"med": 0.5}, intervals=[HPDI95], groups=4, array_rows=0, slice_rows=5_000).collect()}
+    assert len(asked) == 1 and asked[0] <= 40_000 / 5_000  # each group has dozens of bins to rank
+    for g in range(4):
+        x = np.array([i * 7919 % 40009 for i in range(g, 40_000, 4)], float)
+        assert got[g].med == np.median(x) and (got[g].lo_95, got[g].hi_95) == brute(x, 0.95)
+
+
 def test_more_groups_than_promised(spark):
     df = spark.range(6000).selectExpr("id % 600 as g", "cast(id as double) as value")
     got = {r.g: r.med for r in summarise(df, ["g"], quantiles={"med": 0.5}, groups=4).collect()}
