@@ -157,6 +157,18 @@ def test_slices_follow_rows_not_bins(spark, monkeypatch):
         assert got[g].med == np.median(x) and (got[g].lo_95, got[g].hi_95) == brute(x, 0.95)
 
 
+def test_cells_of_rising_size_ask_for_slices_by_their_rows(spark, monkeypatch):
+    from latencylab.operators import distributions
+
+    asked, cut = [], distributions._sliced
+    monkeypatch.setattr(distributions, "_sliced", lambda distinct, slices: cut(distinct, asked.append(int(slices)) or slices))
+    for rows in (8_400, 33_600):
+        df = spark.range(rows).selectExpr("id % 2 as `group`", "id % 3 as dependency", "id % 7 as block", "cast(id * 7919 % 40009 as double) as rt")
+        s = summarise(df, ["group", "dependency", "block"], "rt", intervals=[HPDI95], groups=42, array_rows=0, slice_rows=1_000)
+        assert s.count() == 42 and asked[-1] <= rows / 1_000
+    assert asked[1] <= 5 * asked[0]
+
+
 def test_more_groups_than_promised(spark):
     df = spark.range(6000).selectExpr("id % 600 as g", "cast(id as double) as value")
     got = {r.g: r.med for r in summarise(df, ["g"], quantiles={"med": 0.5}, groups=4).collect()}
